@@ -70,12 +70,17 @@ def utf8(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """1, base, base², … modulo 2⁶⁴."""
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
+    """1, base, base², … modulo 2⁶⁴. The longest row asked for so far is kept."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept) < n:
+        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         out[0] = 1
-    return np.multiply.accumulate(out) if n else out
+        kept = _POWERS[base] = np.multiply.accumulate(out)
+    return kept[:n]
 
 
 class Rolling:
