@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 _M64 = (1 << 64) - 1
 RADIX = 0x9E3779B97F4A7C15 | 1
 RADIX_INVERSE = pow(RADIX, -1, 1 << 64)
