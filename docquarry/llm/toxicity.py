@@ -31,13 +31,13 @@ from docquarry.llm.words import Rolling, Split, slices, split, utf8
 from docquarry.llm.neardup import EDGES
 
 CATEGORIES = ("low_quality", "toxic")
-TRAIN_ROWS = 10_000
+TRAIN_ROWS = 6_000
 FEATURES = 1500
 LEAST_DOCS = 3
 FOLDS = 4
 PREFIXES = (3, 4, 5, 6, 7, 8)
 L2 = 0.3
-SLOT_BITS = 22
+SLOT_BITS = 21
 LEAST_Z = 4.0
 
 
@@ -142,9 +142,9 @@ class Chain:
 def select_features(texts: list[str | None], y: np.ndarray, most: int = FEATURES) -> np.ndarray:
     """The slots whose document frequency differs most with any label, half of ``most`` a label at least."""
     size, rows = 1 << SLOT_BITS, len(texts)
-    df, pos = np.zeros(size, np.int64), np.zeros((y.shape[1], size))
-    for start in range(0, rows, 500):
-        s = split(pa.array(texts[start : start + 500], pa.large_string()))
+    df, pos = np.zeros(size, np.int32), np.zeros((y.shape[1], size), np.int32)
+    for start in range(0, rows, 200):
+        s = split(pa.array(texts[start : start + 200], pa.large_string()))
         word, slot = word_features(s.words)
         order = np.argsort(word, kind="stable")
         word, slot = word[order], slot[order]
@@ -177,8 +177,8 @@ def fit(texts: list[str | None], y: np.ndarray, categories=CATEGORIES, folds: in
         return chain
     chain.known = select_features(texts, y)
     x = np.zeros((len(texts), len(chain.known)), np.float32)
-    for start in range(0, len(texts), 500):
-        doc, at = present(split(pa.array(texts[start : start + 500], pa.large_string())), chain.known)
+    for start in range(0, len(texts), 200):
+        doc, at = present(split(pa.array(texts[start : start + 200], pa.large_string())), chain.known)
         x[doc + start, at] = 1
     fold = np.arange(len(texts)) % folds
     out_of_fold = np.zeros_like(y)
