@@ -30,7 +30,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_exact_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY text",
-    "op4_language_id": lambda s, d: langid.identify(table(s, d, "documents")),
     "op5_source_mixing": mixing.ORACLE,
     "op6_exact_top_k": knn.ORACLE,
 }
