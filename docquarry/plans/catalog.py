@@ -227,6 +227,11 @@ def distinct_unwind(spark, d):
     return A.distinct(_baskets(spark, d), "parts", {"l_orderkey": {"lt": 500}})
 
 
+@query("distinct_unwind_all", "SELECT DISTINCT l_partkey AS value FROM lineitem")
+def distinct_unwind_all(spark, d):
+    return A.distinct(_baskets(spark, d), "parts")
+
+
 @query("counts_by_status", "SELECT s.status, CAST(count(o_orderkey) AS BIGINT) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(status) LEFT JOIN orders ON o_orderstatus = s.status GROUP BY s.status")
 def counts_by_status(spark, d):
     return R.counts_by_status(table(spark, d, "orders"), "o_orderstatus", ["F", "O", "P", "X"])
@@ -298,6 +303,16 @@ def upsert(spark, d):
 ORACLES["upsert"] = "WITH n AS (SELECT c_custkey - 5 AS c_custkey, 'new' AS c_name FROM customer WHERE c_custkey <= 15) SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT * FROM n"
 
 
+_CHANGES = "(SELECT c_custkey, 'new' AS c_name FROM customer WHERE c_acctbal < 3000 UNION ALL SELECT -c_custkey, 'new' FROM customer WHERE c_acctbal > 7000)"
+
+
+@query("upsert_all", f"SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM {_CHANGES}) UNION ALL SELECT c_custkey, c_name FROM {_CHANGES}")
+def upsert_all(spark, d):
+    c = table(spark, d, "customer")
+    old, added = c.where("c_acctbal < 3000").select("c_custkey", F.lit("new").alias("c_name")), c.where("c_acctbal > 7000").select((-F.col("c_custkey")).alias("c_custkey"), F.lit("new").alias("c_name"))
+    return U.upsert(c.select("c_custkey", "c_name"), old.unionByName(added), ["c_custkey"])
+
+
 @query("delete_many", f"SELECT o_orderkey FROM {_NULLABLE} AS t WHERE NOT coalesce(st = 'O', false)")
 def delete_many(spark, d):
     return U.delete_many(_orders(spark, d), {"st": "O"}).select("o_orderkey")
@@ -416,6 +431,12 @@ def feed_mark_pushed(spark, d):
     return FD.mark_pushed(f, f.where("seq <= 4000").select("coll", "doc_id", "seq")).select("seq", "pushed")
 
 
+@query("feed_mark_pushed_all", f"SELECT f.seq, f.pushed OR coalesce(f.seq <= m.u, false) AS pushed FROM {_FEED} f LEFT JOIN (SELECT event_type AS coll, CAST(user_id AS VARCHAR) AS doc_id, max(event_id) AS u FROM events WHERE (epoch_us(ts) // 3600000000) % 2 = 0 GROUP BY ALL) m USING (coll, doc_id)")
+def feed_mark_pushed_all(spark, d):
+    f = _feed(spark, d)
+    return FD.mark_pushed(f, f.where("(ts div 3600000) % 2 = 0").select("coll", "doc_id", "seq")).select("seq", "pushed")
+
+
 @query("lww_merge", """WITH l AS (SELECT o_orderkey AS id, o_totalprice AS v, lpad(CAST(o_orderkey * 7 % 1000 AS VARCHAR), 6, '0') AS ver FROM orders WHERE o_orderkey % 3 <> 0),
  r AS (SELECT o_orderkey AS id, o_totalprice + 1 AS v, lpad(CAST(o_orderkey * 13 % 1000 AS VARCHAR), 6, '0') AS ver FROM orders WHERE o_orderkey % 4 <> 0)
  SELECT coalesce(l.id, r.id) AS id, CASE WHEN l.id IS NULL OR r.ver > l.ver THEN r.v ELSE l.v END AS value,
