@@ -5,7 +5,8 @@ document is of low quality, then that it is toxic. Each link is a logistic regre
 presence of word and prefix features, and each after the first also sees the log-odds that the
 links before it gave. For training, those come from models that did not see the row (out of
 fold), so a later link learns how far the earlier ones can be trusted; for scoring, from the model
-of all rows. Features are chosen by how far their frequency differs with the label.
+of all rows. Features are chosen by how far their frequency differs with the label, and are known by their whole 64-bit
+hashes, so that a long text has no more of them than it holds.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled rows, those of the smallest digests of
 doc_id. The last category's threshold is the one of the best F1 out of fold. Scoring reads every text
@@ -37,12 +38,11 @@ LEAST_DOCS = 3
 FOLDS = 4
 PREFIXES = (3, 4, 5, 6, 7, 8)
 L2 = 0.3
-SLOT_BITS = 21
 LEAST_Z = 4.0
 
 
 def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the word, feature slot): the word itself and its prefixes, lower case, without
+    """(index of the word, 64-bit feature hash): the word itself and its prefixes, lower case, without
     punctuation at the edges; the signs it ends in; whether it is in capitals."""
     plain = pc.utf8_trim(pc.utf8_lower(words), characters=EDGES)
     plain = pc.binary_join_element_wise(pa.scalar("^", plain.type), plain, pa.scalar("$", plain.type), pa.scalar("", plain.type))
@@ -65,7 +65,7 @@ def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     loud = np.flatnonzero(np.asarray(upper))
     word.append(loud)
     h.append(np.full(len(loud), 0xA11CA95, np.uint64) << np.uint64(32))
-    return np.concatenate(word), np.concatenate(h) >> np.uint64(64 - SLOT_BITS)
+    return np.concatenate(word), np.concatenate(h)
 
 
 def present(s: Split, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,24 +139,38 @@ class Chain:
         return out
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes and the sums of their rows of counts."""
+    h, at = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    total = np.zeros((len(h), parts[0][1].shape[1]), np.int32)
+    start = 0
+    for own, n in parts:  # the hashes of a part are distinct
+        total[at[start : start + len(own)]] += n
+        start += len(own)
+    return h, total
+
+
 def select_features(texts: list[str | None], y: np.ndarray, most: int = FEATURES) -> np.ndarray:
-    """The slots whose document frequency differs most with any label, half of ``most`` a label at least."""
-    size, rows = 1 << SLOT_BITS, len(texts)
-    df, pos = np.zeros(size, np.int32), np.zeros((y.shape[1], size), np.int32)
+    """The features whose document frequency differs most with any label, half of ``most`` a label at least."""
+    rows, parts = len(texts), []
     for start in range(0, rows, 200):
         s = split(pa.array(texts[start : start + 200], pa.large_string()))
-        word, slot = word_features(s.words)
+        word, h = word_features(s.words)
         order = np.argsort(word, kind="stable")
-        word, slot = word[order], slot[order]
+        word = word[order]
+        hashes, code_of = np.unique(h[order], return_inverse=True)
         n = np.bincount(word, minlength=len(s.words))
         doc, code = np.divmod(np.unique(s.doc * max(1, len(s.words)) + s.codes), max(1, len(s.words)))
         times, first = n[code], np.cumsum(n) - n
         flat = np.repeat(first[code] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        both = np.unique((np.repeat(doc, times).astype(np.uint64) << np.uint64(SLOT_BITS)) | slot[flat])
-        doc, slot = (both >> np.uint64(SLOT_BITS)).astype(np.int64) + start, (both & np.uint64(size - 1)).astype(np.int64)
-        np.add.at(df, slot, 1)
-        for j in range(y.shape[1]):
-            np.add.at(pos[j], slot[y[doc, j] > 0], 1)
+        doc, at = np.divmod(np.unique(np.repeat(doc, times) * max(1, len(hashes)) + code_of[flat]), max(1, len(hashes)))
+        counts = [np.bincount(at, minlength=len(hashes))]
+        counts += [np.bincount(at[y[doc + start, j] > 0], minlength=len(hashes)) for j in range(y.shape[1])]
+        parts.append((hashes, np.stack(counts, axis=1).astype(np.int32)))
+        if len(parts) > 5:
+            parts = [_summed(parts)]
+    hashes, counts = _summed(parts)
+    df, pos = counts[:, 0], counts[:, 1:].T
     chosen: set[int] = set()
     for j in range(y.shape[1]):
         n1 = y[:, j].sum()
@@ -166,7 +180,7 @@ def select_features(texts: list[str | None], y: np.ndarray, most: int = FEATURES
         z = np.where(df >= LEAST_DOCS, (pos[j] - n1 * p) / np.sqrt(n1 * p * (1 - p).clip(1e-6) * (1 - n1 / rows) + 0.5), 0)
         best = np.argsort(-np.abs(z), kind="stable")[: most // y.shape[1]]
         chosen |= set(best[np.abs(z[best]) >= LEAST_Z].tolist())
-    return np.array(sorted(chosen), np.uint64)
+    return hashes[sorted(chosen)] if chosen else np.zeros(0, np.uint64)
 
 
 def fit(texts: list[str | None], y: np.ndarray, categories=CATEGORIES, folds: int = FOLDS) -> Chain:
