@@ -21,7 +21,7 @@ QUERIES = {
     "op4_language_id": lambda s, d: langid.identify(table(s, d, "documents")),
     "op5_source_mixing": lambda s, d: mixing.mix(table(s, d, "documents")),
     "op6_exact_top_k": _knn,
-    "op7_minhash_pairs": lambda s, d: neardup.near_pairs(table(s, d, "documents")),
+    "op7_minhash_pairs": lambda s, d: neardup.near_classes(table(s, d, "documents")),
     "op8_passage_dedup": lambda s, d: passages.repeated_passages(table(s, d, "documents")),
     "op9_token_counts": lambda s, d: tokens.count_tokens(table(s, d, "documents")),
     "op10_secret_scan": lambda s, d: secrets.scan(table(s, d, "documents")),

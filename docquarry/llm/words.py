@@ -33,6 +33,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
                 yield batch.slice(start, end - start)
 
 
+def numbered(df, own: tuple[str, ...]):
+    """(``df`` with the columns ``own`` under their names and all others numbered, the names of all): no helper column can clash."""
+    names = df.columns
+    first = {c: names.index(c) for c in own if c in names}
+    return df.toDF(*[c if first.get(c) == i else f"c{i}" for i, c in enumerate(names)]), names
+
+
 @dataclass
 class Split:
     """The words of some texts. ``codes`` are in text order and index ``words``."""
