@@ -1,18 +1,21 @@
-"""Exact nearest neighbours of every vector, by a KD-tree per shard.
+"""Exact nearest neighbours of query vectors among all, by KD-trees per shard.
 
 Vectors are dealt to shards by median splits of a bounded sample, so that a shard is a region of
 space. Each shard builds a KD-tree: nodes split at the median of their widest dimension, and
 carry the tight box of their own points. A search goes through a tree best-first: the node whose
-box lies nearest comes next, a block of neighbouring queries at a time, each query dropping out of
+box lies nearest comes next, a block of queries at a time, each query dropping out of
 every node whose box is farther than its own k-th distance so far.
 
-The k-th distance is propagated. First every vector searches the shard it lies in; then it is sent
+The k-th distance is propagated. First every query searches the shard it lies in; then it is sent
 only to those shards whose box is nearer than what it has found, with that distance as the bound
-to beat; the lists are merged. No pair within reach is missed, whatever the sample was.
-
-A shard has about ``SHARD_ROWS`` vectors, more when there would be over ``MAX_SHARDS`` shards, so
-the shards' boxes, which all workers get, have a fixed largest size. The second search streams its
-queries past the tree, in chunks of a shard that run at the same time. How many shards a query
+to beat; the lists are merged. No neighbour is missed, whatever the sample was.
+
+Queries are the rows that ``queries`` names (every row by default), points are all rows. Of equal vectors, only the k + 1 smallest
+identifiers can be among anyone's k nearest, so only those are points: a hot vector costs k + 1 of them. A shard
+has about ``SHARD_ROWS`` points, more when there would be over ``MAX_SHARDS`` shards, so
+the shards' boxes, which all workers get, have a fixed largest size; a shard of more than ``PART_ROWS``
+points is several trees, each over a part of its points, and its queries go to all of them. Queries stream past a
+tree, in chunks that run at the same time. How many shards a query
 visits depends on the data; without clusters in high dimension it is most of them, as for
 every exact method.
 
@@ -37,7 +40,8 @@ from pyspark.sql.window import Window as W
 from docquarry.runtime import checkpoint
 
 SHARD_ROWS = 1 << 14
-MAX_SHARDS = 1 << 13
+MAX_SHARDS = 1 << 11
+PART_ROWS = 1 << 16
 SAMPLE = 1 << 15
 LEAF = 256
 BLOCK = 256
@@ -170,41 +174,38 @@ def _dealer(cuts: dict[int, list[tuple[int, float]]]):
     return run
 
 
-def neighbors(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(vec_id, rank, neighbor_id, distance): the k nearest others of every vector, from rank 1."""
-    spark = vectors.sparkSession
+def neighbors(
+    vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, chunk_rows: int = CHUNK_ROWS, queries: str = "true", max_shards: int = MAX_SHARDS, part_rows: int = PART_ROWS
+) -> DataFrame:
+    """(vec_id, rank, neighbor_id, distance): the k nearest others of every query, from rank 1.
+
+    ``queries`` is a condition on the identifier, called vec_id in it.
+    """
     v = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
     v = v.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))))
     v = v.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     v = checkpoint(v)
     cuts: dict[int, list[tuple[int, float]]] = {}
     for r in v.groupBy("dim").count().collect():  # one row for each length of vectors
-        shards = min(MAX_SHARDS, max(1, r["count"] // shard_rows))
+        shards = min(max_shards, max(1, r["count"] // shard_rows))
         depth = int(np.ceil(np.log2(shards)))
         if depth:
             part = v.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
             cuts[r["dim"]] = splits(_matrix(part.column("v"), r["dim"]), depth)
-    dealt = v.mapInArrow(_dealer(cuts), "vec_id long, v array<double>, dim int, shard long")
-
-    def at_home(group: pa.Table) -> pa.Table:
-        dim = group.column("dim")[0].as_py()
-        x, ids = _matrix(group.column("v"), dim), group.column("vec_id").to_numpy()
-        tree = Tree(x)
-        best, near = np.empty((len(x), k)), np.empty((len(x), k), np.int64)
-        leaves = [r for r in tree.rows if len(r)]
-        for rows in leaves:  # the points of a leaf are queries that go the same way
-            best[rows], near[rows] = search(tree, ids, x[rows], ids[rows], k, np.full(len(rows), np.inf))
-        kth = best[:, -1]
-        lists = [pa.array([[int(m) for m in row[np.isfinite(d)]] for row, d in zip(near, best)], pa.list_(pa.int64())), pa.array([d[np.isfinite(d)].tolist() for d in best], pa.list_(pa.float64()))]
-        n = len(x)
-        return pa.table([group.column("vec_id"), group.column("v"), group.column("dim"), group.column("shard"), pa.array(kth), *lists], names=["vec_id", "v", "dim", "shard", "kth", "near", "d2"])
-
-    home = dealt.groupBy("dim", "shard").applyInArrow(at_home, "vec_id long, v array<double>, dim int, shard long, kth double, near array<long>, d2 array<double>")
-    home = checkpoint(home)
-    found = home.select("vec_id", F.explode(F.arrays_zip("near", "d2")).alias("x")).select("vec_id", F.col("x.near").alias("neighbor_id"), "x.d2")
-    if any(cuts.values()):
-        found = found.unionByName(_abroad(home, k, chunk_rows))
+    equal = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
+    points = v.withColumn("equal", equal).where(F.col("equal") <= k + 1).select("vec_id", "v", "dim")
+    points = checkpoint(points.mapInArrow(_dealer(cuts), "vec_id long, v array<double>, dim int, shard long"))
+    # A row a shard, so ``max_shards`` for each length of vectors.
+    parts = F.broadcast(points.groupBy("dim", "shard").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts")))
+    points = points.join(parts, ["dim", "shard"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+    asked = v.where(queries).mapInArrow(_dealer(cuts), "vec_id long, v array<double>, dim int, shard long")
+    asked = checkpoint(asked.withColumn("kth", F.lit(float("inf"))))
     rank = F.row_number().over(W.partitionBy("vec_id").orderBy("d2", "neighbor_id"))
+    found = checkpoint(_visit(points, asked, parts, k, chunk_rows).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"))
+    if any(cuts.values()):
+        kth = found.groupBy("vec_id").agg(F.max("d2").alias("far"), F.count("*").alias("n")).where(F.col("n") >= k).select("vec_id", "far")
+        asked = asked.join(kth, "vec_id", "left").withColumn("kth", F.coalesce("far", "kth")).drop("far")
+        found = found.unionByName(_visit(points, _sent(points, asked), parts, k, chunk_rows))
     out = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return out.select("vec_id", "rank", "neighbor_id", F.sqrt("d2").alias("distance"))
 
@@ -227,13 +228,15 @@ def _boxes(batches):
     )
 
 
-def _abroad(home: DataFrame, k: int, chunk_rows: int) -> DataFrame:
-    """What the other shards have within each query's k-th distance."""
-    parts = home.select("dim", "shard", "v").mapInArrow(_boxes, "dim int, shard long, low array<double>, high array<double>").collect()
-    boxes: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-    for r in parts:  # a row for each shard, for each home partition it lies in (one)
-        low, high = boxes.setdefault(r.dim, {}).get(r.shard, (np.inf, -np.inf))
-        boxes[r.dim][r.shard] = np.minimum(low, r.low), np.maximum(high, r.high)
+def _sent(points: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each query for every shard but its own whose box is within its k-th distance."""
+    held = points.select("dim", "shard", "v").mapInArrow(_boxes, "dim int, shard long, low array<double>, high array<double>")
+    each = held.select("dim", "shard", F.posexplode(F.arrays_zip("low", "high")).alias("i", "x")).groupBy("dim", "shard", "i").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    boxes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    got = each.orderBy("dim", "shard", "i").toPandas()  # a row a shard and dimension
+    for dim, own in got.groupby("dim"):
+        dim = int(dim)
+        boxes[dim] = own.shard.to_numpy()[::dim], own.low.to_numpy().reshape(-1, dim), own.high.to_numpy().reshape(-1, dim)
 
     def route(batches):
         for b in batches:
@@ -242,25 +245,31 @@ def _abroad(home: DataFrame, k: int, chunk_rows: int) -> DataFrame:
             for dim in np.unique(dims).tolist():
                 own = np.flatnonzero(dims == dim)
                 x = _matrix(b.column("v").take(pa.array(own)), dim)
-                for s, (low, high) in boxes[dim].items():
+                for s, low, high in zip(*boxes[dim]):
                     go = own[(shard[own] != s) & (gaps(x, low, high) <= kth[own])]
                     rows.append(go), to.append(np.full(len(go), s))
             at = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("v").take(at), b.column("dim").take(at), pa.array(np.concatenate(to)), b.column("kth").take(at)], names=["vec_id", "v", "dim", "shard", "kth"])
 
-    sent = home.select("vec_id", "v", "dim", "shard", "kth").mapInArrow(route, "vec_id long, v array<double>, dim int, shard long, kth double")
-    load = sent.groupBy("dim", "shard").agg(F.count("*").alias("load")).withColumn("chunks", F.ceil(F.col("load") / chunk_rows).cast("int")).drop("load")
-    load = F.broadcast(load)  # a row a shard, so MAX_SHARDS for each length
-    queries = sent.join(load, ["dim", "shard"]).withColumns({"chunk": F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"), "kind": F.lit(1)})
-    points = home.join(load, ["dim", "shard"]).withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "kind": F.lit(0), "kth": F.lit(None).cast("double")})
-    columns = ["dim", "shard", "chunk", "kind", "vec_id", "v", "kth"]
-    both = points.select(columns).unionByName(queries.select(columns)).repartition("dim", "shard", "chunk").sortWithinPartitions("dim", "shard", "chunk", "kind")
+    columns = ["vec_id", "v", "dim", "shard", "kth"]
+    return asked.select(columns).mapInArrow(route, "vec_id long, v array<double>, dim int, shard long, kth double")
+
+
+def _visit(points: DataFrame, queries: DataFrame, parts: DataFrame, k: int, chunk_rows: int) -> DataFrame:
+    """The k nearest points, within ``kth``, that each query finds in each part of the shard it is sent to."""
+    columns = ["dim", "shard", "part", "chunk", "kind", "vec_id", "v", "kth"]
+    queries = queries.join(parts, ["dim", "shard"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    # A row a shard and part; the points of a part go along with every chunk of its queries.
+    load = queries.groupBy("dim", "shard", "part").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+    asked = queries.join(load, ["dim", "shard", "part"]).withColumns({"chunk": F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"), "kind": F.lit(1)})
+    held = points.join(load, ["dim", "shard", "part"]).withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "kind": F.lit(0), "kth": F.lit(None).cast("double")})
+    both = held.select(columns).unionByName(asked.select(columns)).repartition("dim", "shard", "part", "chunk").sortWithinPartitions("dim", "shard", "part", "chunk", "kind")
 
     def run(batches):
         """A group's points come before its queries; the tree is built when the first query comes."""
         at, tree, held, ids = None, None, [], None
         for b in batches:
-            keys = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in ("dim", "shard", "chunk", "kind")], axis=1)
+            keys = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in ("dim", "shard", "part", "chunk", "kind")], axis=1)
             turns = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else []
             for start, end in zip(turns, [*turns[1:], len(keys)]):
                 *group, kind = keys[start].tolist()
@@ -270,6 +279,8 @@ def _abroad(home: DataFrame, k: int, chunk_rows: int) -> DataFrame:
                 if kind == 0:
                     held.append((np.asarray(rows.column("vec_id")), _matrix(rows.column("v"), group[0])))
                     continue
+                if tree is None and not held:
+                    continue
                 if tree is None:
                     ids, tree = np.concatenate([i for i, _ in held]), Tree(np.concatenate([x for _, x in held]))
                     held = []
@@ -282,9 +293,11 @@ def _abroad(home: DataFrame, k: int, chunk_rows: int) -> DataFrame:
     return both.mapInArrow(run, FOUND)
 
 
-ORACLE = """
+#: The identifiers whose vectors :data:`ORACLE` and the registered query search for.
+ASKED = "vec_id % 100 = 0"
+ORACLE = f"""
 WITH v AS (SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY vec_id),
- d AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+ d AS (SELECT a.vec_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS d FROM (SELECT * FROM v WHERE {ASKED}) a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), neighbor_id) AS rank FROM d)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor_id, round(d, 5) AS distance FROM r WHERE rank <= 10
 """

@@ -10,7 +10,7 @@ from docquarry.runtime import table
 
 
 def _knn(spark, sf_dir):
-    found = knn.neighbors(table(spark, sf_dir, "embeddings"))
+    found = knn.neighbors(table(spark, sf_dir, "embeddings"), queries=knn.ASKED)
     return found.withColumn("distance", F.round("distance", 5))
 
 
