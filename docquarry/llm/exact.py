@@ -2,18 +2,19 @@
 
 Every partition of the documents makes one run: (digest, proof, doc_id, copies), sorted by
 digest, with one entry for each distinct text and the smallest identifier seen for it. Runs are
-then exchanged in rounds whose stride grows by the fan-in: in a round, the members of a group
-that differ in one digit of their number swap the parts of their runs by the matching digit of
-the digest, and each merges what it gets, keeping the smallest identifier again. After the last
+then exchanged in binomial rounds, whose stride doubles: in a round, partitions that differ in
+one bit of their number swap the parts of their runs by the matching bit of the digest, and each
+merges the sorted runs it gets, keeping the verified smallest identifier again. After the last
 round every partition owns one range of digests and nothing is left to compare. An entry moves
 once a round, a partition never holds more than its share, and no partition sees a whole table.
+With a larger ``fan_in`` several bits go in one round.
 
 The digest that orders a run has 64 bits. Two entries merge only when their proof agrees too:
 the SHA-256 of the text and its length, so a collision of digests never joins two texts.
 
 Defined cases: null texts equal one another (as in GROUP BY) and differ from empty ones; a null
-identifier counts as larger than any other; repeated rows are copies; an empty table gives no
-rows; columns other than doc_id and text are ignored.
+identifier counts as larger than any other, the largest long too; repeated rows are copies; an empty table gives no
+rows; columns other than doc_id and text are ignored, and come back as they were under any name.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.words import numbered
+
 RUN = "d long, v binary, doc_id long, n long"
 _ARROW = pa.schema([("d", pa.int64()), ("v", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64())])
 _LAST = np.iinfo(np.int64).max
-_NONE = -(2**63)
 
 
 def proof():
@@ -46,36 +48,37 @@ def _merge(batches):
         return
     t = pa.Table.from_batches(parts).combine_chunks()
     d = t["d"].to_numpy()
-    # What arrives is a row of sorted runs, which a stable sort merges without sorting them anew.
+    # What arrives is a row of sorted runs; a stable sort (timsort) finds them and merges them.
     order = np.argsort(d, kind="stable")
     d = d[order]
     v = t["v"].take(pa.array(order)).to_pylist()
     got = t["doc_id"].take(pa.array(order))
-    ids = np.where(np.asarray(got.is_null()), _LAST, np.asarray(got.fill_null(0)))
+    known = np.asarray(got.is_valid())
+    ids = np.where(known, np.asarray(got.fill_null(0)), _LAST)
     n = t["n"].to_numpy()[order]
     fresh = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-    keep, least, copies = [], [], []
+    keep, least, some, copies = [], [], [], []
     for start, end in zip(fresh.tolist(), [*fresh[1:].tolist(), len(d)]):
         if end - start == 1:
-            keep.append(start), least.append(ids[start]), copies.append(n[start])
+            keep.append(start), least.append(ids[start]), some.append(known[start]), copies.append(n[start])
             continue
         seen: dict[bytes, int] = {}
         for i in range(start, end):
             at = seen.get(v[i])
             if at is None:
                 seen[v[i]] = len(keep)
-                keep.append(i), least.append(ids[i]), copies.append(n[i])
+                keep.append(i), least.append(ids[i]), some.append(known[i]), copies.append(n[i])
             else:
                 least[at] = min(least[at], ids[i])
+                some[at] = some[at] or known[i]
                 copies[at] += n[i]
-    least = np.asarray(least, np.int64)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(d[keep]), pa.array([v[i] for i in keep], pa.binary()), pa.array(least, mask=least == _LAST), pa.array(np.asarray(copies, np.int64))],
+        [pa.array(d[keep]), pa.array([v[i] for i in keep], pa.binary()), pa.array(np.asarray(least, np.int64), mask=~np.asarray(some, bool)), pa.array(np.asarray(copies, np.int64))],
         schema=_ARROW,
     )
 
 
-def tree_merge(docs: DataFrame, fan_in: int = 8, ranges: int | None = None) -> DataFrame:
+def tree_merge(docs: DataFrame, fan_in: int = 2, ranges: int | None = None) -> DataFrame:
     """One row (d, v, doc_id, n) for each distinct text: the smallest doc_id, and how many rows hold it.
 
     ``ranges`` is the number of digest ranges at the end, rounded up to a power of ``fan_in``;
@@ -98,21 +101,20 @@ def tree_merge(docs: DataFrame, fan_in: int = 8, ranges: int | None = None) -> D
     return run.drop("p")
 
 
-def exact_dedup(docs: DataFrame, fan_in: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, fan_in: int = 2) -> DataFrame:
     """(doc_id, n_copies): the documents that stay, one for each distinct text."""
     return tree_merge(docs, fan_in).select("doc_id", F.col("n").alias("n_copies"))
 
 
-def drop_copies(docs: DataFrame, fan_in: int = 8) -> DataFrame:
+def drop_copies(docs: DataFrame, fan_in: int = 2) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with the columns of ``docs``.
 
     Repeated rows of one identifier and text leave one row.
     """
-    def whole(column):
-        return F.coalesce(column.cast("long"), F.lit(_NONE))
-
-    kept = tree_merge(docs, fan_in).select(F.col("d").alias("__d"), F.col("v").alias("__v"), whole(F.col("doc_id")).alias("__i"))
+    kept = tree_merge(docs, fan_in).select(F.col("d").alias("__d"), F.col("v").alias("__v"), F.col("doc_id").alias("__i"))
+    plain, names = numbered(docs, ("doc_id", "text"))
+    own = plain.columns
     d, v = proof()
-    keys = ["__d", "__v", "__i"]
-    marked = docs.withColumns({"__d": d, "__v": v, "__i": whole(F.col("doc_id"))})
-    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    marked = plain.withColumns({"__d": d, "__v": v, "__i": F.col("doc_id").cast("long")})
+    at = (marked["__d"] == kept["__d"]) & (marked["__v"] == kept["__v"]) & marked["__i"].eqNullSafe(kept["__i"])
+    return marked.join(kept, at, "left_semi").dropDuplicates(["__d", "__v", "__i"]).select(own).toDF(*names)
