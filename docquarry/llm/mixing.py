@@ -12,7 +12,7 @@ otherwise it is as long as there are blocks in all.
 No window runs over a whole source: positions come from sums over digest buckets and over
 stretches of slots first, so one hot source spreads over all executors.
 
-Defined cases: a token is a word between blanks; a document without any (null or empty text)
+Defined cases: a token is a run of characters other than blanks, tabs and line ends (as SQL can count them too); a document without any (null or empty text)
 holds no place in a block and does not appear; a null source is a source of its own; ties of the digest
 (repeated identifiers) are ordered by length, and equal rows are interchangeable; a source that
 ``weights`` leaves out or gives nothing is not scheduled; an empty table gives no rows; columns
@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from docquarry.llm.words import numbered
+
 GOLDEN = 2654435769  # 2^32 / golden ratio, odd
 BLOCK_TOKENS = 2048
 POWER = 0.8
 STRETCH = 4096
 NULL_SOURCE = "\u0001null"
-NULL_DOC = -(2**62)
 
 
 def word_count(text="text"):
@@ -125,16 +126,21 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
 def resample(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, block_tokens: int = BLOCK_TOKENS, seed: int = 7, cover: bool = True) -> DataFrame:
     """The rows of ``docs``, each as often as the schedule draws the block where it begins.
 
-    Documents without a word begin in no block and are left out.
+    Documents without a word begin in no block; with ``cover`` they come once, so that no row is lost.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC))
+    plain, names = numbered(docs, ("doc_id", "source", "text"))
+    own = plain.columns
+    key = F.col("doc_id").cast("long")
     drawn = mix(docs, weights, power, block_tokens, seed, cover).where("tok_from = 0")
     # Repeated identifiers share their draws evenly: each row of one is drawn once for each of its own pieces.
-    times = drawn.groupBy(key.alias("__key")).agg(F.count("*").alias("__drawn"))
-    rows = docs.where(word_count() > 0).groupBy(key.alias("__key")).agg(F.count("*").alias("__rows"))
-    times = times.join(rows, "__key").select("__key", F.expr("cast(ceil(__drawn / __rows) as int)").alias("__times"))
-    out = docs.withColumn("__key", key).where(word_count() > 0).join(times, "__key")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[out[c] for c in docs.columns])
+    times = drawn.groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("__drawn"))
+    worded = plain.withColumn("__words", word_count())
+    rows = worded.where("__words > 0").groupBy(key.alias("__own")).agg(F.count("*").alias("__rows"))
+    times = times.join(rows, F.col("__key").eqNullSafe(F.col("__own"))).select("__key", F.expr("cast(ceil(__drawn / __rows) as int)").alias("__times"))
+    out = worded.join(times, key.eqNullSafe(F.col("__key")), "left")
+    copies = F.when(F.col("__words") > 0, F.coalesce("__times", F.lit(0))).otherwise(1 if cover else 0)
+    out = out.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return out.select(own).toDF(*names)
 
 
 ORACLE = f"""

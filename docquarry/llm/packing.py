@@ -13,7 +13,7 @@ Packing is sequential by nature, so the pieces are spread by a digest over shard
 ``shard_tokens``; each is packed by itself, from lengths alone. The waste of a shard's last
 windows is below a thousandth at the default.
 
-Defined cases: a token is a word between blanks; documents without any (null or empty text)
+Defined cases: a token is a run of characters other than blanks, tabs and line ends; documents without any (null or empty text)
 have no place in a window and one row with tier, window, step and place null; repeated rows and
 null identifiers are packed as documents of their own; an empty table gives no rows; columns other than
 doc_id and text are ignored.
@@ -30,12 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.mixing import NULL_DOC, word_count
+from docquarry.llm.mixing import word_count
 
 TIERS = (512, 2048, 8192)
 STEP_TOKENS = 1 << 18
 SHARD_TOKENS = 1 << 23
-SCHEMA = "shard long, tier int, window_no int, step int, place int, doc_id long, tok_from long, tok_to long"
+SCHEMA = "shard long, tier int, window_no int, step int, place int, doc_id long, known boolean, tok_from long, tok_to long"
 
 
 class Shelf:
@@ -140,17 +140,19 @@ def pack(docs: DataFrame, tiers=TIERS, step_tokens: int = STEP_TOKENS, shard_tok
     """
     tiers = tuple(sorted(tiers))
     longest = tiers[-1]
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("doc_id"), word_count().alias("n"))
+    key = F.col("doc_id").cast("long")
+    # Pandas has no null longs; the partition's number spreads the rows of a hot identifier.
+    d = docs.select(F.coalesce(key, F.lit(0)).alias("doc_id"), key.isNotNull().alias("known"), word_count().alias("n"), F.spark_partition_id().alias("part"))
     total = d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
     shards = max(1, -(-total // shard_tokens))
     starts = F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(longest).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     p = d.withColumn("tok_from", F.explode(starts))
     p = p.withColumn("tok_to", F.least(F.col("tok_from") + longest, F.col("n")))
-    p = p.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tok_from", "n"), F.lit(shards)).cast("long")).drop("n")
+    p = p.withColumn("shard", F.pmod(F.xxhash64("doc_id", "tok_from", "n", "part"), F.lit(shards)).cast("long")).drop("n", "part")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         size = (pdf.tok_to - pdf.tok_from).to_numpy()
-        pdf = pdf.iloc[np.lexsort((pdf.tok_from.to_numpy(), pdf.doc_id.to_numpy(), -size))].reset_index(drop=True)
+        pdf = pdf.iloc[np.lexsort((pdf.tok_from.to_numpy(), pdf.doc_id.to_numpy(), pdf.known.to_numpy(), -size))].reset_index(drop=True)
         size = (pdf.tok_to - pdf.tok_from).to_numpy()
         full = int((size > 0).sum())
         got = pack_shard(size[:full].tolist(), tiers, step_tokens) if full else []
@@ -158,4 +160,4 @@ def pack(docs: DataFrame, tiers=TIERS, step_tokens: int = STEP_TOKENS, shard_tok
         out = pd.DataFrame(got, columns=["tier", "window_no", "step", "place"]).astype("Int32")
         return pd.concat([pdf, out], axis=1)[[c.split()[0] for c in SCHEMA.split(", ")]]
 
-    return p.groupBy("shard").applyInPandas(one, SCHEMA).withColumn("doc_id", F.when(F.col("doc_id") != NULL_DOC, F.col("doc_id")))
+    return p.groupBy("shard").applyInPandas(one, SCHEMA).withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("known")
