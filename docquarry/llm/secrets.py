@@ -1,13 +1,13 @@
 """Secret scanning by a linear-chain conditional random field.
 
 Words between blanks are tagged O (outside), B (a secret begins) or I (it goes on). A word's
-scores come from features of its own (shape, length, shares of digits, capitals and signs,
+scores come from features of its own (shape as its first twelve runs of byte classes, the word itself up to 16 bytes, length, shares of digits, capitals and signs,
 number of different bytes, first bytes, the key before ``=`` or ``:``), the same features of
 the words before and after it, and features of the whole document (density of signs, digits and
 capitals, length); transitions are scored too. Viterbi finds the best tags.
 
 The tables label no secrets, so the field is trained on passages of at most ``TRAIN_DOCS``
-documents (smallest digests of doc_id) in which secrets of many formats and look-alikes that are
+documents (smallest digests of doc_id; the least text of an identifier's rows) in which secrets of many formats and look-alikes that are
 none (identifiers, checksums in prose, numbers, addresses) are set; words that a strict
 pattern of key and value already shows to be secret are labelled so.
 
@@ -374,7 +374,7 @@ def field_of(docs: DataFrame, rows: int = TRAIN_DOCS) -> Field:
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
     chosen = d.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"])
+    got = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     return train(got["text"].tolist())
 
 

@@ -9,11 +9,11 @@ of all rows. Features are chosen by how far their frequency differs with the lab
 hashes, so that a long text has no more of them than it holds.
 
 The model is fitted on at most ``TRAIN_ROWS`` labelled rows, those of the smallest digests of
-doc_id. The last category's threshold is the one of the best F1 out of fold. Scoring reads every text
+doc_id. The tables label two categories, low quality and toxicity, so the chain has two links there; :func:`fit` takes any number. The last category's threshold is the one of the best F1 out of fold. Scoring reads every text
 whole, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no features, so they get the intercepts' probability;
-a null label leaves its row out of training; a category with a single class gets its base rate;
+a null label leaves its row out of training, and of rows that share an identifier the least text is trained on; a category with a single class gets its base rate;
 with no labels at all every probability is 0 and no document is toxic; rows out are the rows in,
 repeated ones repeated and null identifiers kept; columns other than doc_id and text are ignored.
 """
@@ -220,8 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
     marks = marks.agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(marks), "doc_id").toPandas()  # both sides bounded by ``rows``
-    got = got.sort_values(["doc_id", "text"]).drop_duplicates("doc_id").reset_index(drop=True)
+    got = texts.join(F.broadcast(marks), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
+    got = got.toPandas().sort_values("doc_id").reset_index(drop=True)  # a row for each of ``rows`` identifiers at most
     y = np.stack([got.quality.to_numpy() == 0, got.toxic.to_numpy() == 1], axis=1) if len(got) else np.zeros((0, 2))
     return fit(got.text.tolist(), y)
 

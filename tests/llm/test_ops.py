@@ -46,7 +46,7 @@ def test_empty_tables(spark, name):
     d, y = spark.createDataFrame([], DOCS), spark.createDataFrame([], LABELS)
     run = {
         "toxicity": lambda: toxicity.classify(d, y), "packing": lambda: packing.pack(d), "exact": lambda: exact.exact_dedup(d), "langid": lambda: langid.identify(d),
-        "mixing": lambda: mixing.mix(d), "knn": lambda: knn.neighbors(spark.createDataFrame([], "vec_id long, embedding array<float>")), "neardup": lambda: neardup.near_pairs(d),
+        "mixing": lambda: mixing.mix(d), "knn": lambda: knn.neighbors(spark.createDataFrame([], "vec_id long, embedding array<float>")), "neardup": lambda: neardup.near_classes(d),
         "passages": lambda: passages.repeated_passages(d), "tokens": lambda: tokens.count_tokens(d), "secrets": lambda: secrets.scan(d, 4),
     }
     assert run[name]().count() == 0
@@ -89,23 +89,7 @@ def test_against_sql(spark, name):
     assert difference(queries.QUERIES[name](spark, SF), queries.ORACLES[name], SF) == ""
 
 
-def test_language_brute_force(docs):
-    r = rows()
-    model = langid.fit([x[1] for x in r[:24]], [x[2] for x in r[:24]])
-    known = dict(zip(model.known.tolist(), model.p))
-
-    def brute(word):
-        raw, total = (" " + word).encode(), np.zeros(2)
-        for cuts in itertools.product((0, 1), repeat=len(raw) - 1):
-            at, p = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(raw)], np.ones(2)
-            for a, b in itertools.pairwise(at):
-                h = langid.Rolling(np.frombuffer(raw[a:b], np.uint8)).of(np.array([0]), np.array([b - a]))[0]
-                p = p * known.get(int(h), np.zeros(2)) if b - a <= langid.LONGEST else np.zeros(2)
-            total += p
-        return np.log(total) - langid.TILT * len(raw)
-
-    words = ["the", "abcé", "zzq", "a"]
-    assert np.allclose(langid.Scorer(model).words(pa.array(words, pa.large_string())), [brute(w) for w in words])
+def test_language(docs):
     out = langid.identify(docs, rows=50).toPandas()
     assert len(out) == docs.count() and out.language.isna().sum() == 4
 
@@ -114,21 +98,18 @@ def test_neighbors_brute_force(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 5)).round(1)
     x[50] = x[51]
+    x[200:240] = x[51]  # a hot vector
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist()), (None, x[0].tolist()), (900, None), (901, []), (902, [1.0, float("nan"), 0.0, 0.0, 0.0]), (903, [1.0, 2.0])]
-    got = knn.neighbors(spark.createDataFrame(data, "vec_id long, embedding array<double>"), k=4, shard_rows=40, chunk_rows=50).toPandas()
+    got = knn.neighbors(spark.createDataFrame(data, "vec_id long, embedding array<double>"), k=4, shard_rows=40, chunk_rows=50, max_shards=4, part_rows=20).toPandas()
     d = ((x[:, None] - x[None]) ** 2).sum(-1)
     np.fill_diagonal(d, np.inf)
     want = np.lexsort((np.broadcast_to(np.arange(300), d.shape), d), axis=1)[:, :4]
     assert (got.sort_values(["vec_id", "rank"]).neighbor_id.to_numpy().reshape(300, 4) == want).all()
 
 
-def test_near_pairs_brute_force(docs):
-    sigs = {}
-    for r in neardup.signatures(docs).collect():
-        sigs[r.doc_id] = np.frombuffer(bytes(r.sig), np.uint16)
-    want = {(a, b) for a, b in itertools.combinations(sorted(sigs), 2) if (sigs[a] != sigs[b]).sum() <= neardup.RADIUS}
-    got = {(r.doc_a, r.doc_b) for r in neardup.near_pairs(docs).collect()}
-    assert got <= want and (5, 101) in got and (5, 100) in got
+def test_near_classes(docs):
+    got = {(r.doc_id, r.class_id, r.n_links) for r in neardup.near_classes(docs).collect()}
+    assert {(5, 5, 2), (100, 5, 2), (101, 5, 2), (202, 202, 0)} <= got
     kept = neardup.drop_near(docs)
     assert kept.columns == docs.columns and {100, 101}.isdisjoint({r.doc_id for r in kept.select("doc_id").collect()})
 
