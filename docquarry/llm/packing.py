@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.mixing import word_count
+from docquarry.runtime import checkpoint
 
 TIERS = (512, 2048, 8192)
 STEP_TOKENS = 1 << 18
@@ -143,6 +144,7 @@ def pack(docs: DataFrame, tiers=TIERS, step_tokens: int = STEP_TOKENS, shard_tok
     key = F.col("doc_id").cast("long")
     # Pandas has no null longs; the partition's number spreads the rows of a hot identifier.
     d = docs.select(F.coalesce(key, F.lit(0)).alias("doc_id"), key.isNotNull().alias("known"), word_count().alias("n"), F.spark_partition_id().alias("part"))
+    d = checkpoint(d)  # words are counted once
     total = d.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
     shards = max(1, -(-total // shard_tokens))
     starts = F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(longest).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
