@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from docquarry.llm.words import numbered
+from docquarry.runtime import checkpoint
 
 GOLDEN = 2654435769  # 2^32 / golden ratio, odd
 BLOCK_TOKENS = 2048
@@ -47,13 +48,13 @@ def lengths(docs: DataFrame) -> DataFrame:
     ).where("n > 0")
 
 
-def pieces(docs: DataFrame, block_tokens: int, seed: int, digits: int = 3) -> DataFrame:
-    """(source, block, doc_id, tok_from, tok_to): which part of a document lies in which block.
+def pieces(held: DataFrame, block_tokens: int, seed: int, digits: int = 3) -> DataFrame:
+    """(source, block, doc_id, tok_from, tok_to): which part of a document of :func:`lengths` lies in which block.
 
     ``digits`` hex digits of the digest make the buckets of a source: 4,096 by default, so a
     source of ten billion documents has 2.4 million in one window.
     """
-    d = lengths(docs).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    d = held.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     d = d.withColumn("bucket", F.substring("h", 1, digits))
     held = d.groupBy("source", "bucket").agg(F.sum("n").alias("held"))
     before = held.withColumn("before", F.sum("held").over(W.partitionBy("source").orderBy("bucket")) - F.col("held")).drop("held")
@@ -72,9 +73,9 @@ def pieces(docs: DataFrame, block_tokens: int, seed: int, digits: int = 3) -> Da
     )
 
 
-def plan(docs: DataFrame, weights: dict[str, float] | None, power: float, block_tokens: int, cover: bool):
+def plan(held: DataFrame, weights: dict[str, float] | None, power: float, block_tokens: int, cover: bool):
     """([(source, blocks, low, high)], slots): each source's share of 2^32 points; one row a source reaches the driver."""
-    totals = sorted((r.source, r.tokens) for r in lengths(docs).groupBy("source").agg(F.sum("n").alias("tokens")).collect())
+    totals = sorted((r.source, r.tokens) for r in held.groupBy("source").agg(F.sum("n").alias("tokens")).collect())
     raw = {s: (t**power if weights is None else float(weights.get(s, 0.0))) for s, t in totals}
     whole = sum(raw.values())
     units = {s: int(1e6 * w / whole + 0.5) if whole else 0 for s, w in raw.items()}
@@ -94,10 +95,10 @@ def point():
     return F.expr(f"((t & 65535) * {GOLDEN} + ((((t >> 16) & 65535) * {GOLDEN}) & 65535) * 65536) & 4294967295")
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, block_tokens: int = BLOCK_TOKENS, cover: bool = True) -> DataFrame:
-    """(slot, source, block, epoch): the whole schedule. Without ``weights`` a source weighs its tokens to ``power``."""
-    spark = docs.sparkSession
-    sources, slots = plan(docs, weights, power, block_tokens, cover)
+def schedule(held: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, block_tokens: int = BLOCK_TOKENS, cover: bool = True) -> DataFrame:
+    """(slot, source, block, epoch): the whole schedule of the documents of :func:`lengths`. Without ``weights`` a source weighs its tokens to ``power``."""
+    spark = held.sparkSession
+    sources, slots = plan(held, weights, power, block_tokens, cover)
     shares = spark.createDataFrame(sources, "source string, blocks long, low long, high long")
     drawn = spark.range(slots).select(F.col("id").alias("t")).withColumns({"u": point(), "stretch": F.expr(f"t div {STRETCH}")})
     drawn = drawn.join(F.broadcast(shares), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))  # one row a source
@@ -117,8 +118,12 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, power: fl
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, block_tokens: int = BLOCK_TOKENS, seed: int = 7, cover: bool = True) -> DataFrame:
     """(slot, source, block, epoch, doc_id, tok_from, tok_to): what each slot of the schedule trains on."""
-    slots = schedule(docs, weights, power, block_tokens, cover)
-    out = slots.join(pieces(docs, block_tokens, seed), ["source", "block"])
+    return _mixed(checkpoint(lengths(docs)), weights, power, block_tokens, seed, cover)
+
+
+def _mixed(held: DataFrame, weights, power, block_tokens, seed, cover) -> DataFrame:
+    slots = schedule(held, weights, power, block_tokens, cover)
+    out = slots.join(pieces(held, block_tokens, seed), ["source", "block"])
     source = F.when(F.col("source") != NULL_SOURCE, F.col("source"))
     return out.select("slot", source.alias("source"), "block", "epoch", "doc_id", "tok_from", "tok_to")
 
@@ -131,14 +136,15 @@ def resample(docs: DataFrame, weights: dict[str, float] | None = None, power: fl
     plain, names = numbered(docs, ("doc_id", "source", "text"))
     own = plain.columns
     key = F.col("doc_id").cast("long")
-    drawn = mix(docs, weights, power, block_tokens, seed, cover).where("tok_from = 0")
+    held = checkpoint(lengths(docs))
+    drawn = _mixed(held, weights, power, block_tokens, seed, cover).where("tok_from = 0")
     # Repeated identifiers share their draws evenly: each row of one is drawn once for each of its own pieces.
     times = drawn.groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("__drawn"))
-    worded = plain.withColumn("__words", word_count())
-    rows = worded.where("__words > 0").groupBy(key.alias("__own")).agg(F.count("*").alias("__rows"))
+    rows = held.groupBy(F.col("doc_id").alias("__own")).agg(F.count("*").alias("__rows"))
     times = times.join(rows, F.col("__key").eqNullSafe(F.col("__own"))).select("__key", F.expr("cast(ceil(__drawn / __rows) as int)").alias("__times"))
-    out = worded.join(times, key.eqNullSafe(F.col("__key")), "left")
-    copies = F.when(F.col("__words") > 0, F.coalesce("__times", F.lit(0))).otherwise(1 if cover else 0)
+    out = plain.join(times, key.eqNullSafe(F.col("__key")), "left")
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^ \t\n\r]"), F.lit(False))
+    copies = F.when(worded, F.coalesce("__times", F.lit(0))).otherwise(1 if cover else 0)
     out = out.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return out.select(own).toDF(*names)
 
