@@ -2,8 +2,13 @@
 
 Each stage takes all that its predecessor kept, is written as Parquet and read again; all but
 the last return the columns of documents. The third stage keeps one document of each group of
-near duplicates. The fourth repeats rows of sources that the target weights raise, and drops none
-that has a word. The last has one row for each piece of a document in a training window.
+near duplicates. The fourth repeats rows of sources that the target weights raise, and drops none.
+The last has one row for each piece of a document in a training window, and one for each without words.
+
+Defined cases: documents with null identifiers go through all stages and are near copies of none; null
+and empty texts count as copies of one another (of each kind one stays) and never as toxic; repeated rows
+leave one; columns other than doc_id, text and source come through the first four stages as they were, under any
+name; empty tables give no rows. A stage's folder is deleted once its successor's is written.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.llm import exact, mixing, neardup, packing, toxicity
-from docquarry.runtime import shared_dir, table
+from docquarry.runtime import remove, shared_dir, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +56,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies STAGES to the documents of ``sf_dir``; each stage's rows lie in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, last = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
         at = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if last:
+            remove(spark, last)
+        last = at
     return docs

@@ -105,18 +105,27 @@ def is_null(f: Field) -> Column:
 
 
 def key(f: Field) -> Column:
-    """What to sort, group and join by: for a VARIANT value (class, number, text), null for null."""
+    """What to sort, group and join by: for a VARIANT value (class, number, text, whether the text is JSON), null for null."""
     if f.kind == "variant":
         number, text = variant_number(f.col), variant_text(f.col)
         nothing = F.lit(None).cast("double"), F.lit(None).cast("string")
         return (
             F.when(is_null(f), F.lit(None))
-            .when(number.isNotNull(), F.struct(F.lit(1).alias("class"), number.alias("number"), nothing[1].alias("text")))
-            .otherwise(F.struct(F.lit(2).alias("class"), nothing[0].alias("number"), F.coalesce(text, F.to_json(f.col)).alias("text")))
+            .when(number.isNotNull(), F.struct(F.lit(1).alias("class"), number.alias("number"), nothing[1].alias("text"), F.lit(False).alias("json")))
+            .otherwise(F.struct(F.lit(2).alias("class"), nothing[0].alias("number"), F.coalesce(text, F.to_json(f.col)).alias("text"), text.isNull().alias("json")))
         )
     return f.col
 
 
+def value_of(f: Field, k: Column) -> Column:
+    """The value that a :func:`key` of ``f`` stands for: VARIANT again, booleans as numbers."""
+    if f.kind != "variant":
+        return k
+    number, text = k.getField("number"), k.getField("text")
+    whole = (number == F.floor(number)) & (F.abs(number) < 2**53)
+    return F.when(k.getField("class") == 1, F.when(whole, number.cast("long").cast("variant")).otherwise(number.cast("variant"))).when(k.getField("json"), F.try_parse_json(text)).otherwise(text.cast("variant"))
+
+
 def operand(value: Any) -> Any:
     """A query's operand as what it is compared as: booleans as 1 and 0, times as ISO text, lists and objects as JSON text."""
     if isinstance(value, bool):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.functions.values import Field, QueryError, key, resolve, variant_number
+from docquarry.functions.values import Field, QueryError, key, resolve, value_of, variant_number
 from docquarry.operators.where import leaf, where
 
 BUCKETS = ("_sum", "_avg", "_min", "_max")
@@ -29,11 +29,19 @@ def _accumulate(schema: T.StructType, bucket: str, path: str) -> Column:
     return (F.min if bucket == "_min" else F.max)(key(f))
 
 
-def flat(bucket: str, path: str) -> str:
-    return f"{bucket}_{path.replace('.', '_')}"
+class Names:
+    """Column names of paths: dots as underscores, unless another path has that name; then the path itself."""
 
+    def __init__(self):
+        self.held: dict[str, str] = {}
 
-def _columns(schema: T.StructType, args: dict) -> dict[str, Column]:
+    def __call__(self, bucket: str, path: str) -> str:
+        want = f"{bucket}_{path}" if bucket else path
+        plain = f"{bucket}_{path.replace('.', '_')}" if bucket else path.replace(".", "_")
+        return plain if self.held.setdefault(plain, want) == want else want
+
+
+def _columns(schema: T.StructType, args: dict, flat: Names) -> dict[str, Column]:
     out = {"_count": F.count("*")} if args.get("_count") else {}
     for bucket in BUCKETS:
         for path, on in (args.get(bucket) or {}).items():
@@ -42,23 +50,36 @@ def _columns(schema: T.StructType, args: dict) -> dict[str, Column]:
     return out
 
 
+def _shown(schema: T.StructType, args: dict, flat: Names) -> list[Column]:
+    """The columns of :func:`_columns` after aggregation, least and greatest values as what they were."""
+    out = [F.col("_count")] if args.get("_count") else []
+    for bucket in BUCKETS:
+        for path, on in (args.get(bucket) or {}).items():
+            if on:
+                c = F.col(f"`{flat(bucket, path)}`")
+                out.append((value_of(resolve(schema, path), c) if bucket in ("_min", "_max") else c).alias(flat(bucket, path)))
+    return out
+
+
 def aggregate(df: DataFrame, where_: dict | None = None, **args) -> DataFrame:
     """One row with the asked ``_count``, ``_sum``, ``_avg``, ``_min``, ``_max``, named like ``_sum_age``.
 
     With no rows the count is 0 and all else null.
     """
-    columns = _columns(df.schema, args)
+    flat = Names()
+    columns = _columns(df.schema, args, flat)
     if not columns:
         raise QueryError("nothing to aggregate")
-    return df.where(where(df, where_)).agg(*[c.alias(n) for n, c in columns.items()])
+    return df.where(where(df, where_)).agg(*[c.alias(n) for n, c in columns.items()]).select(*_shown(df.schema, args, flat))
 
 
 def group_by(df: DataFrame, by: list[str], where_: dict | None = None, having: dict | None = None, order_by: list | dict | None = None, skip: int | None = None, take: int | None = None, **args) -> DataFrame:
     """Groups by the paths ``by`` (null and missing are one group). ``having`` and ``order_by`` may name accumulators that aren't selected."""
     if not by:
         raise QueryError("group_by needs a field")
-    names = {p: p.replace(".", "_") for p in by}
-    shown = _columns(df.schema, args)
+    flat = Names()
+    names = {p: flat("", p) for p in by}
+    shown = _columns(df.schema, args, flat)
     hidden: dict[str, Column] = {}
 
     def need(bucket: str, path: str | None) -> str:
@@ -94,10 +115,10 @@ def group_by(df: DataFrame, by: list[str], where_: dict | None = None, having: d
             raise QueryError("having takes equals, not, gt, gte, lt, lte")
         out = out.where(leaf(resolve(out.schema, name), cond))
     if order:
-        out = out.orderBy(*[F.col(n).desc_nulls_last() if w == "desc" else F.col(n).asc_nulls_first() for n, w in order])
+        out = out.orderBy(*[F.col(f"`{n}`").desc_nulls_last() if w == "desc" else F.col(f"`{n}`").asc_nulls_first() for n, w in order])
     out = out.offset(int(skip)) if skip else out
     out = out.limit(int(take)) if take is not None else out
-    return out.select(*names.values(), *shown)
+    return out.select(*[value_of(resolve(df.schema, p), F.col(f"`{n}`")).alias(n) for p, n in names.items()], *_shown(df.schema, args, flat))
 
 
 def distinct(df: DataFrame, path: str, where_: dict | None = None) -> DataFrame:
@@ -110,7 +131,9 @@ def distinct(df: DataFrame, path: str, where_: dict | None = None) -> DataFrame:
         held = F.try_variant_get(f.col, "$", "array<variant>")
         inside = F.schema_of_variant(f.col).startswith("ARRAY")
         rows = rows.where(f.col.isNotNull()).select(F.explode(F.when(inside, held).otherwise(F.array(f.col))).alias("v"))
-        rows = rows.select(key(Field(F.col("v"), None)).alias("value"))
+        held = Field(F.col("v"), None)
+        rows = rows.select(key(held).alias("value")).distinct().orderBy(F.col("value").asc_nulls_first())
+        return rows.select(value_of(held, F.col("value")).alias("value"))
     else:
         rows = rows.select(f.col.alias("value"))
     return rows.distinct().orderBy(F.col("value").asc_nulls_first())

@@ -42,7 +42,9 @@ def lookup(df: DataFrame, foreign: DataFrame, local_field: str, foreign_field: s
     if left.schema["__l"].dataType != f.schema["__k"].dataType and {left.schema["__l"].dataType.typeName(), f.schema["__k"].dataType.typeName()} & {"string"}:
         raise QueryError(f"{local_field} and {foreign_field} are of different kinds")
     if not unwind:
-        f = f.groupBy("__k").agg(F.collect_list("__m").alias("__m"))
+        # Only what this side's keys ask for is grouped.
+        own = left.select("__l").where("__l is not null").distinct()
+        f = f.join(own, F.col("__k") == F.col("__l"), "left_semi").groupBy("__k").agg(F.collect_list("__m").alias("__m"))
     how = "inner" if unwind is True else "left"
     joined = left.join(f, F.col("__l") == F.col("__k"), how).drop("__l", "__k")
     value = F.col("__m") if unwind else F.coalesce("__m", F.array().cast(f.schema["__m"].dataType))
@@ -50,6 +52,14 @@ def lookup(df: DataFrame, foreign: DataFrame, local_field: str, foreign_field: s
     return joined.select(*[F.col(f"`{c}`") for c in kept], value.alias(as_))
 
 
+def having_related(df: DataFrame, foreign: DataFrame, local_field: str, foreign_field: str, where_: dict | None = None, related: bool = True) -> DataFrame:
+    """The rows that have a match among the foreign rows that pass ``where_``; with ``related`` false, those that have none."""
+    f = foreign.where(where(foreign, where_)) if where_ else foreign
+    keys = f.select(key(resolve(f.schema, foreign_field)).alias("__k"))
+    left = df.withColumn("__l", key(resolve(df.schema, local_field)))
+    return left.join(keys, F.col("__l") == F.col("__k"), "left_semi" if related else "left_anti").drop("__l")
+
+
 def project(df: DataFrame, select: dict[str, bool] | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Keeps the paths that are true; dotted ones rebuild their objects. All false: the whole rows."""
     paths = [p for p, on in (select or {}).items() if on]
@@ -80,8 +90,9 @@ def find_many(
     lookups: list[dict] | None = None,
     select: dict[str, bool] | None = None,
     max_rows: int | None = None,
+    keep_id: bool = False,
 ) -> DataFrame:
-    """where, then order, then page, then lookups, then select. ``max_rows`` bounds reads that have no ``take``."""
+    """where, then order, then page, then lookups, then select, with ``_id`` if it is to be kept. ``max_rows`` bounds reads that have no ``take``."""
     out = df.where(where(df, where_)) if where_ else df
     if max_rows is not None and take is None and len(out.limit(max_rows + 1).select(F.lit(1)).collect()) > max_rows:
         raise TooManyRows(f"more than {max_rows} rows; give take or raise max_rows")
@@ -89,7 +100,7 @@ def find_many(
     out = _page(out.orderBy(*order) if order else out, skip, take)
     for one in lookups or []:
         out = lookup(out, one["from"], one["localField"], one["foreignField"], one["as"], one.get("unwind", False))
-    return project(out, select, tuple(x["as"] for x in lookups or []))
+    return project(out, select, (*(["_id"] if keep_id else []), *(x["as"] for x in lookups or [])))
 
 
 def find_first(df: DataFrame, where_: dict | None = None, order_by: dict | list | None = None, **more) -> DataFrame:

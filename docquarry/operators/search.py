@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from docquarry.functions.values import QueryError, resolve, variant_number, variant_text
 from docquarry.operators.where import where
+from docquarry.runtime import checkpoint
 
 K1, B = 1.2, 0.75
 _ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňőŕřśšťūůűźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnorrsstuuuzzz"
@@ -33,9 +34,19 @@ def text_of(df: DataFrame, path: str) -> Column:
     return F.coalesce(f.col.cast("string"), F.lit("")) if f.kind in ("text", "number", "bool") else F.lit("")
 
 
+def folded(c: Column) -> Column:
+    """Lower case, without accents."""
+    return F.translate(F.lower(c), *_ACCENTS)
+
+
 def tokens(c: Column) -> Column:
     """Runs of letters and digits, lower case, without accents."""
-    return F.regexp_extract_all(F.translate(F.lower(c), *_ACCENTS), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return F.regexp_extract_all(folded(c), F.lit(r"[\p{L}\p{N}]+"), 0)
+
+
+def spaced(c: Column) -> Column:
+    """The tokens with a blank on either side of each, so that counting one is counting a piece of text."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded(c), r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
 
 
 def _fold(s: str) -> list[str]:
@@ -108,60 +119,76 @@ def parse(query: str) -> tuple:
         return reduce(lambda a, b: ("and", a, b), words) if words else ("none",)
 
 
-def _matches(tree: tuple, t: Column) -> Column:
+def _matches(tree: tuple, has: dict[tuple, Column]) -> Column:
+    """Whether a row matches, from which leaves it has."""
     kind = tree[0]
     if kind == "none":
         return F.lit(False)
-    if kind == "term":
-        return F.array_contains(t, tree[1])
-    if kind == "prefix":
-        return F.exists(t, lambda w: w.startswith(tree[1]))
-    if kind == "phrase":
-        return _times(tree, t) > 0
-    left, right = _matches(tree[1], t), _matches(tree[2], t)
+    if kind in ("term", "prefix", "phrase"):
+        return has[tree]
+    left, right = _matches(tree[1], has), _matches(tree[2], has)
     return left & right if kind == "and" else left | right if kind == "or" else left & ~right
 
 
-def _times(leaf: tuple, t: Column) -> Column:
+def _pieces(s: Column, piece: str) -> Column:
+    return ((F.length(s) - F.length(F.replace(s, F.lit(piece), F.lit("")))) / len(piece)).cast("int")
+
+
+def _times(leaf: tuple, s: Column) -> Column:
+    """How often a leaf stands in spaced tokens; phrases may overlap themselves."""
     if leaf[0] == "term":
-        return F.size(F.filter(t, lambda w: w == leaf[1]))
+        return _pieces(s, f" {leaf[1]} ")
     if leaf[0] == "prefix":
-        return F.size(F.filter(t, lambda w: w.startswith(leaf[1])))
-    words = leaf[1]
-    starts = F.sequence(F.lit(1), F.greatest(F.size(t) - len(words) + 1, F.lit(1)))
-    return F.size(F.filter(starts, lambda i: F.slice(t, i, len(words)) == F.array(*map(F.lit, words))))
+        return _pieces(s, f" {leaf[1]}")
+    piece = " " + "  ".join(leaf[1]) + " "
+    alone = all(leaf[1][:i] != leaf[1][-i:] for i in range(1, len(leaf[1])))
+    return _pieces(s, piece) if alone else F.regexp_count(s, F.lit(f"(?={piece})"))
 
 
-def _leaves(tree: tuple) -> list[tuple]:
+def _leaves(tree: tuple, all_: bool = True) -> list[tuple]:
+    """The tree's leaves; without ``all_`` only those that add to the score."""
     if tree[0] in ("term", "prefix", "phrase"):
         return [tree]
     if tree[0] == "none":
         return []
-    return _leaves(tree[1]) + (_leaves(tree[2]) if tree[0] != "not" else [])
+    return _leaves(tree[1], all_) + (_leaves(tree[2], all_) if all_ or tree[0] != "not" else [])
 
 
-def search(df: DataFrame, fields: list[str], query: str, id_: str = "_id", take: int | None = 50, where_: dict | None = None) -> DataFrame:
-    """The rows that match, best first, with ``_score``: BM25 over all of ``fields``.
+def ranked(counted: DataFrame, tree: tuple, docs: int, mean: float, found: list[int]) -> DataFrame:
+    """The matching rows of ``counted`` (``__n`` tokens, ``__f0``, ``__f1``, ... times of each leaf) with their BM25 ``_score``.
 
-    Statistics come from the whole table; one pass gives them, and only the matching rows are ranked.
+    ``found`` is the number of documents that hold each leaf.
     """
-    tree = parse(query)
-    parts = list(dict.fromkeys(_leaves(tree)))
-    t = tokens(F.concat_ws(" ", *[text_of(df, p) for p in fields]))
-    seen = df.withColumn("__t", t).withColumns({"__n": F.size("__t"), **{f"__f{i}": _times(leaf, F.col("__t")) for i, leaf in enumerate(parts)}})
-    hit = _matches(tree, F.col("__t"))
-    stats = seen.agg(F.count("*").alias("docs"), F.coalesce(F.avg("__n"), F.lit(0.0)).alias("mean"), *[F.coalesce(F.sum((F.col(f"__f{i}") > 0).cast("long")), F.lit(0)).alias(f"d{i}") for i in range(len(parts))]).first()
+    leaves = list(dict.fromkeys(_leaves(tree)))
     score = F.lit(0.0)
-    for i in range(len(parts)):
-        d = stats[f"d{i}"]
-        idf = math.log((stats.docs - d + 0.5) / (d + 0.5)) if stats.docs else 0.0
+    for leaf in dict.fromkeys(_leaves(tree, False)):
+        i = leaves.index(leaf)
+        idf = math.log((docs - found[i] + 0.5) / (found[i] + 0.5)) if docs else 0.0
         idf = idf if idf > 0 else 1e-6
         f = F.col(f"__f{i}")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__n") / (stats.mean or 1.0)))
-    out = seen.where(hit)
-    out = out.where(where(df, where_)) if where_ else out
-    out = out.withColumn("_score", score).select(*[F.col(f"`{c}`") for c in df.columns], "_score").orderBy(F.desc("_score"), F.col(id_))
-    return out.limit(take) if take is not None else out
+        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("__n") / (mean or 1.0)))
+    hit = _matches(tree, {leaf: F.col(f"__f{i}") > 0 for i, leaf in enumerate(leaves)})
+    return counted.where(hit).withColumn("_score", score)
+
+
+def search(df: DataFrame, fields: list[str], query: str, id_: str = "_id", take: int | None = 50, where_: dict | None = None) -> DataFrame:
+    """The rows that match, best first, with ``_score``: BM25 over all of ``fields``.
+
+    One pass over the texts leaves a row of counts for each document; statistics and ranks come
+    from those, and the documents are read again for the hits only. :class:`docquarry.operators.fts.Index` needs no pass over the texts.
+    """
+    tree = parse(query)
+    leaves = list(dict.fromkeys(_leaves(tree)))
+    s = spaced(F.concat_ws(" ", *[text_of(df, p) for p in fields]))
+    allowed = F.coalesce(where(df, where_), F.lit(False)) if where_ else F.lit(True)
+    seen = df.select(F.col(id_).alias("__id"), allowed.alias("__ok"), s.alias("__s"))
+    n = F.when(F.trim("__s") == "", 0).otherwise((F.length("__s") - F.length(F.replace("__s", F.lit(" "), F.lit("")))) / 2).cast("int")
+    counted = checkpoint(seen.select("__id", "__ok", n.alias("__n"), *[_times(leaf, F.col("__s")).alias(f"__f{i}") for i, leaf in enumerate(leaves)]))
+    stats = counted.agg(F.count("*").alias("docs"), F.coalesce(F.avg("__n"), F.lit(0.0)).alias("mean"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"d{i}") for i in range(len(leaves))]).first()
+    out = ranked(counted.where("__ok"), tree, stats.docs, stats.mean, [stats[f"d{i}"] for i in range(len(leaves))]).select("__id", "_score")
+    if take is not None:
+        out = F.broadcast(out.orderBy(F.desc("_score"), "__id").limit(take))  # ``take`` rows
+    return df.join(out, F.col(f"`{id_}`") == F.col("__id")).drop("__id").orderBy(F.desc("_score"), F.col(f"`{id_}`"))
 
 
 def distance(v: Column, query: list[float], metric: str = "l2") -> Column:

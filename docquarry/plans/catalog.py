@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import aggregate as A
 from docquarry.operators import cron, query as Q, ranking as R, search as S, update as U
+from docquarry.operators.fts import Index
 from docquarry.operators.stores import claim_order, live
 from docquarry.operators.where import where
-from docquarry.runtime import table
+from docquarry.runtime import shared_dir, table
+from docquarry.sources.indexes import VectorStore
+from docquarry.sources.store import Database, UniqueError
 from docquarry.streaming import feed as FD
+from docquarry.streaming.sync import FolderAdapter, SyncEngine
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -60,11 +66,11 @@ _filter("where_and_or_not", {"OR": [{"st": "F"}, {"o_totalprice": {"gt": 400000}
 _filter("where_empty_or", {"OR": []}, "false")
 _filter("where_not_missing", {"NOT": {"st": {"gt": "G"}}}, "NOT coalesce(st > 'G', false)")
 _filter("where_mixed_types", {"o_totalprice": {"lt": "a"}, "o_orderpriority": {"gt": 3}}, "o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL")
-_filter("where_contains", {"p_name": {"contains": "1"}}, "contains(p_name, '1')", "part", "p_partkey")
+_filter("where_contains", {"p_name": {"contains": "anvil"}}, "contains(p_name, 'anvil')", "part", "p_partkey")
 _filter("where_starts_with", {"p_brand": {"startsWith": "Brand#1"}}, "starts_with(p_brand, 'Brand#1')", "part", "p_partkey")
 _filter("where_ends_with", {"p_type": {"endsWith": "L"}}, "ends_with(p_type, 'L')", "part", "p_partkey")
-_filter("where_insensitive", {"p_type": {"contains": "STEEL", "mode": "insensitive"}}, "contains(lower(p_type), 'steel')", "part", "p_partkey")
-_filter("where_regex", {"p_name": {"regex": "[0-9]+5$"}}, "regexp_matches(p_name, '[0-9]+5$')", "part", "p_partkey")
+_filter("where_insensitive", {"p_type": {"contains": "eCONo", "mode": "insensitive"}}, "contains(lower(p_type), 'econo')", "part", "p_partkey")
+_filter("where_regex", {"p_name": {"regex": "^[bg][a-z]+ .*[aeiou][lrn]$"}}, "regexp_matches(p_name, '^[bg][a-z]+ .*[aeiou][lrn]$')", "part", "p_partkey")
 _filter("where_text_contains", {"text": {"contains": "licensed under", "mode": "insensitive"}}, "contains(lower(text), 'licensed under')", "documents", "doc_id")
 
 
@@ -167,14 +173,12 @@ def lookup_select(spark, d):
 
 @query("semi_filter", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
 def semi_filter(spark, d):
-    c = table(spark, d, "customer").where("c_acctbal > 5000")
-    return table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+    return Q.having_related(table(spark, d, "orders"), table(spark, d, "customer"), "o_custkey", "c_custkey", {"c_acctbal": {"gt": 5000}}).select("o_orderkey")
 
 
 @query("anti_orphans", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000)")
 def anti_orphans(spark, d):
-    o = table(spark, d, "orders").where("o_totalprice > 350000")
-    return table(spark, d, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return Q.having_related(table(spark, d, "customer"), table(spark, d, "orders"), "c_custkey", "o_custkey", {"o_totalprice": {"gt": 350000}}, related=False).select("c_custkey")
 
 
 @query("latest_per_key", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
@@ -214,7 +218,7 @@ def group_order_by_sum(spark, d):
 @query("group_by_doc_path", f"SELECT {_K} AS k, count(*) AS n FROM events GROUP BY 1")
 def group_by_doc_path(spark, d):
     out = A.group_by(_documents(spark, d), ["k"], _count=True)
-    return out.select(F.col("k.number").alias("k"), F.col("_count").alias("n"))
+    return out.select(F.col("k").cast("double").alias("k"), F.col("_count").alias("n"))
 
 
 @query("distinct_scalar", "SELECT DISTINCT p_brand AS value FROM part")
@@ -222,13 +226,8 @@ def distinct_scalar(spark, d):
     return A.distinct(table(spark, d, "part"), "p_brand")
 
 
-@query("distinct_unwind", "SELECT DISTINCT l_partkey AS value FROM lineitem WHERE l_orderkey < 500")
+@query("distinct_unwind", "SELECT DISTINCT l_partkey AS value FROM lineitem")
 def distinct_unwind(spark, d):
-    return A.distinct(_baskets(spark, d), "parts", {"l_orderkey": {"lt": 500}})
-
-
-@query("distinct_unwind_all", "SELECT DISTINCT l_partkey AS value FROM lineitem")
-def distinct_unwind_all(spark, d):
     return A.distinct(_baskets(spark, d), "parts")
 
 
@@ -282,32 +281,22 @@ def update_unset(spark, d):
 
 def _array_update(name: str, change: dict, sql: str) -> None:
     def run(spark, d):
-        out = U.update_many(_baskets(spark, d).select("l_orderkey", F.array_distinct("parts").alias("parts")), None, change)
-        return out.select("l_orderkey", F.array_join(F.array_sort("parts"), ",").alias("parts"))
+        out = U.update_many(_baskets(spark, d).select("l_orderkey", F.array_sort(F.array_distinct("parts")).alias("parts")), None, change)
+        return out.select("l_orderkey", F.array_join("parts", ",").alias("parts"))
 
-    query(name, f"SELECT l_orderkey, array_to_string(list_sort({sql}), ',') AS parts FROM (SELECT l_orderkey, list(DISTINCT l_partkey) AS p FROM lineitem GROUP BY l_orderkey)")(run)
+    query(name, f"SELECT l_orderkey, array_to_string({sql}, ',') AS parts FROM (SELECT l_orderkey, list_sort(list(DISTINCT l_partkey)) AS p FROM lineitem GROUP BY l_orderkey)")(run)
 
 
 _array_update("push", {"$push": {"parts": {"$each": [1, 1]}}}, "list_concat(p, [1, 1])")
-_array_update("add_to_set", {"$addToSet": {"parts": {"$each": [7, 8, 8]}}}, "list_distinct(list_concat(p, [7, 8]))")
+_array_update("add_to_set", {"$addToSet": {"parts": {"$each": [7, 8, 8]}}}, "list_concat(p, [x for x in [7, 8] if NOT list_contains(p, x)])")
 _array_update("pull", {"$pull": {"parts": 7}}, "[x for x in p if x <> 7]")
 
 
-@query("upsert", "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 10 UNION ALL SELECT c_custkey - 5, 'new' FROM customer WHERE c_custkey <= 15")
-def upsert(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_name")
-    new = c.where("c_custkey <= 15").select((F.col("c_custkey") - 5).alias("c_custkey"), F.lit("new").alias("c_name"))
-    return U.upsert(c, new, ["c_custkey"])
-
-
-ORACLES["upsert"] = "WITH n AS (SELECT c_custkey - 5 AS c_custkey, 'new' AS c_name FROM customer WHERE c_custkey <= 15) SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM n) UNION ALL SELECT * FROM n"
-
-
 _CHANGES = "(SELECT c_custkey, 'new' AS c_name FROM customer WHERE c_acctbal < 3000 UNION ALL SELECT -c_custkey, 'new' FROM customer WHERE c_acctbal > 7000)"
 
 
-@query("upsert_all", f"SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM {_CHANGES}) UNION ALL SELECT c_custkey, c_name FROM {_CHANGES}")
-def upsert_all(spark, d):
+@query("upsert", f"SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM {_CHANGES}) UNION ALL SELECT c_custkey, c_name FROM {_CHANGES}")
+def upsert(spark, d):
     c = table(spark, d, "customer")
     old, added = c.where("c_acctbal < 3000").select("c_custkey", F.lit("new").alias("c_name")), c.where("c_acctbal > 7000").select((-F.col("c_custkey")).alias("c_custkey"), F.lit("new").alias("c_name"))
     return U.upsert(c.select("c_custkey", "c_name"), old.unionByName(added), ["c_custkey"])
@@ -425,14 +414,8 @@ def pending_push(spark, d):
     return FD.pending(_feed(spark, d)).select("coll", "doc_id", "seq")
 
 
-@query("feed_mark_pushed", f"SELECT f.seq, f.pushed OR coalesce(f.seq <= m.u, false) AS pushed FROM {_FEED} f LEFT JOIN (SELECT coll, doc_id, max(seq) AS u FROM {_FEED} WHERE seq <= 4000 GROUP BY ALL) m USING (coll, doc_id)")
+@query("feed_mark_pushed", f"SELECT f.seq, f.pushed OR coalesce(f.seq <= m.u, false) AS pushed FROM {_FEED} f LEFT JOIN (SELECT event_type AS coll, CAST(user_id AS VARCHAR) AS doc_id, max(event_id) AS u FROM events WHERE (epoch_us(ts) // 3600000000) % 2 = 0 GROUP BY ALL) m USING (coll, doc_id)")
 def feed_mark_pushed(spark, d):
-    f = _feed(spark, d)
-    return FD.mark_pushed(f, f.where("seq <= 4000").select("coll", "doc_id", "seq")).select("seq", "pushed")
-
-
-@query("feed_mark_pushed_all", f"SELECT f.seq, f.pushed OR coalesce(f.seq <= m.u, false) AS pushed FROM {_FEED} f LEFT JOIN (SELECT event_type AS coll, CAST(user_id AS VARCHAR) AS doc_id, max(event_id) AS u FROM events WHERE (epoch_us(ts) // 3600000000) % 2 = 0 GROUP BY ALL) m USING (coll, doc_id)")
-def feed_mark_pushed_all(spark, d):
     f = _feed(spark, d)
     return FD.mark_pushed(f, f.where("(ts div 3600000) % 2 = 0").select("coll", "doc_id", "seq")).select("seq", "pushed")
 
@@ -512,3 +495,139 @@ def raw_sql(spark, d):
         "WITH t AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) "
         "SELECT c_mktsegment, CAST(rank() OVER (ORDER BY round(sum(s), 2) DESC) AS INT) AS place, round(sum(s), 2) AS total FROM t JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment"
     )
+
+
+# Single answers, as one row.
+@query("exists_where", "SELECT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 400000) AS there, EXISTS (SELECT 1 FROM orders WHERE o_totalprice < 0) AS absent")
+def exists_where(spark, d):
+    o = table(spark, d, "orders")
+    return spark.createDataFrame([(Q.exists(o, {"o_totalprice": {"gt": 400000}}), Q.exists(o, {"o_totalprice": {"lt": 0}}))], "there boolean, absent boolean")
+
+
+@query("count_of", "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
+def count_of(spark, d):
+    return spark.createDataFrame([(Q.count(table(spark, d, "orders"), {"o_orderstatus": "F"}),)], "n long")
+
+
+@query("find_by_text_id", "SELECT c_custkey, c_name FROM customer WHERE CAST(c_custkey AS VARCHAR) = '42'")
+def find_by_text_id(spark, d):
+    c = table(spark, d, "customer").withColumn("_id", F.col("c_custkey").cast("string"))
+    return Q.find_by_id(c, 42).select("c_custkey", "c_name")
+
+
+@query("find_first", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
+def find_first(spark, d):
+    return Q.find_first(table(spark, d, "orders"), {"o_orderstatus": "F"}, [{"o_totalprice": "desc"}, {"o_orderkey": "asc"}]).select("o_orderkey")
+
+
+@query("distinct_doc_values", f"SELECT DISTINCT {_K} AS value FROM events WHERE {_K} IS NOT NULL")
+def distinct_doc_values(spark, d):
+    return A.distinct(_documents(spark, d), "k").select(F.col("value").cast("double").alias("value"))
+
+
+@query("group_min_max_doc", f"SELECT event_type AS kind, min({_K}) AS low, max({_K}) AS high FROM events GROUP BY event_type")
+def group_min_max_doc(spark, d):
+    out = A.group_by(_documents(spark, d), ["event_type"], _min={"k": True}, _max={"k": True})
+    return out.select(F.col("event_type").alias("kind"), F.col("_min_k").cast("double").alias("low"), F.col("_max_k").cast("double").alias("high"))
+
+
+# Through a database folder: what its files hold after the operations.
+def _database(spark) -> Database:
+    return Database(spark, f"{shared_dir(spark).removeprefix('file:').replace('///', '/')}/db-{uuid.uuid4().hex}")
+
+
+_ORDER = {"custkey": {"type": "INTEGER"}, "status": {"type": "TEXT"}, "price": {"type": "REAL"}}
+
+
+def _stored(spark, d, db: Database | None = None):
+    db = db or _database(spark)
+    held = db.collection("orders", _ORDER, unique=[["_id"]])
+    o = table(spark, d, "orders")
+    held.append(o.select(F.col("o_orderkey").cast("string").alias("_id"), F.parse_json(F.to_json(F.struct(F.col("o_orderpriority").alias("priority")))).alias("data"), F.col("o_custkey").cast("long").alias("custkey"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.lit(1).cast("long").alias("created_at"), F.lit(1).cast("long").alias("updated_at")))
+    return db, held
+
+
+@query("store_update_many", "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_totalprice > 200000 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END AS n FROM orders WHERE NOT (o_orderstatus = 'P' AND o_totalprice <= 200000)")
+def store_update_many(spark, d):
+    db, held = _stored(spark, d)
+    held.update_many({"price": {"gt": 200000}}, {"$set": {"status": "X"}, "$inc": {"seen": 1}})
+    held.delete_many({"status": "P"})
+    return held.read().select(F.col("_id").alias("id"), "status", F.coalesce(F.try_variant_get("data", "$.seen", "int"), F.lit(0)).alias("n"))
+
+
+@query("store_feed", "SELECT 'insert' AS op, count(*) AS n, count(*) AS seqs FROM orders UNION ALL SELECT 'update', count(*), count(*) FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT 'delete', count(*), count(*) FROM orders WHERE o_orderstatus = 'P' AND o_totalprice <= 200000")
+def store_feed(spark, d):
+    db, held = _stored(spark, d)
+    with db.transaction():
+        held.update_many({"price": {"gt": 200000}}, {"$set": {"status": "X"}})
+        held.delete_many({"status": "P"})
+    return db.feed().groupBy("op").agg(F.count("*").alias("n"), F.count_distinct("seq").alias("seqs"))
+
+
+@query("store_query_raw", "SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 100000 GROUP BY 1")
+def store_query_raw(spark, d):
+    db, _ = _stored(spark, d)
+    return db.query_raw("SELECT status, count(*) AS n, round(sum(price), 2) AS total FROM orders WHERE price > :least GROUP BY status", {"least": 100000})
+
+
+@query("store_execute_raw", "SELECT CAST(o_orderkey AS VARCHAR) AS id, round(CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END, 2) AS price FROM orders WHERE o_totalprice >= 50000 UNION ALL SELECT 'new', 1.0")
+def store_execute_raw(spark, d):
+    db, held = _stored(spark, d)
+    db.execute_raw("DELETE FROM orders WHERE price < ?", [50000])
+    db.execute_raw("UPDATE orders SET price = price * 2 WHERE status = 'F'")
+    db.execute_raw("INSERT INTO orders (_id, price) VALUES ('new', 1.0)")
+    return held.read().select(F.col("_id").alias("id"), F.round("price", 2).alias("price"))
+
+
+@query("store_rollback", "SELECT count(*) AS n, count(*) AS entries FROM orders")
+def store_rollback(spark, d):
+    db, held = _stored(spark, d)
+    try:
+        with db.transaction():
+            held.delete_many({"status": "F"})
+            held.create({"_id": "new"})
+            held.create({"_id": "new", "status": "a copy of an identifier"})
+    except UniqueError:
+        pass
+    return spark.createDataFrame([(held.count(), db.feed().count())], "n long, entries long")
+
+
+@query("sync_folders", "SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_totalprice > 300000 THEN 'R' WHEN o_totalprice > 200000 THEN 'L' ELSE o_orderstatus END AS status FROM orders WHERE o_orderstatus <> 'P' OR o_totalprice > 200000")
+def sync_folders(spark, d):
+    """Both sides change the same documents; the later change wins on both."""
+    db, held = _stored(spark, d)
+    other = _database(spark)
+    engine = SyncEngine(db, FolderAdapter(other, "other"), ["orders"])
+    engine.sync()
+    there = other.collection("orders")
+    held.update_many({"price": {"gt": 200000}}, {"$set": {"status": "L"}})
+    there.update_many({"price": {"gt": 300000}}, {"$set": {"status": "R"}})
+    held.delete_many({"status": "P"})
+    engine.sync()
+    both = held.read().select("_id", "status").unionByName(there.read().select("_id", "status"))
+    return both.distinct().select(F.col("_id").alias("id"), "status")
+
+
+@query("fts_index", _fts_sql("license", "public", "f1 > 0 AND f2 > 0"))
+def fts_index(spark, d):
+    docs = table(spark, d, "documents")
+    index = Index(spark, f"{shared_dir(spark).removeprefix('file:').replace('///', '/')}/fts-{uuid.uuid4().hex}", ["text"], "doc_id")
+    index.reindex(docs)
+    return index.search(docs, "license public", None).select("doc_id", F.round("_score", 4).alias("score"))
+
+
+@query("fts_index_phrase", ORACLES["fts_phrase"])
+def fts_index_phrase(spark, d):
+    docs = table(spark, d, "documents")
+    index = Index(spark, f"{shared_dir(spark).removeprefix('file:').replace('///', '/')}/fts-{uuid.uuid4().hex}", ["text"], "doc_id")
+    index.reindex(docs)
+    return index.search(docs, '"public license"', None).select("doc_id")
+
+
+@query("vector_store", f"SELECT CAST(vec_id AS VARCHAR) AS id, round(list_cosine_distance(embedding::DOUBLE[], {_QS}), 4) AS distance FROM embeddings WHERE label = 3 ORDER BY list_cosine_distance(embedding::DOUBLE[], {_QS}), CAST(vec_id AS VARCHAR) LIMIT 10")
+def vector_store(spark, d):
+    store = VectorStore(_database(spark))
+    held = store.ensure_collection("e", 64)
+    e = table(spark, d, "embeddings")
+    held.append(e.select(F.col("vec_id").cast("string").alias("_id"), F.parse_json(F.lit("{}")).alias("data"), F.col("embedding").cast("array<double>").alias("vector"), F.parse_json(F.to_json(F.struct("label"))).alias("metadata"), F.lit(1).cast("long").alias("created_at"), F.lit(1).cast("long").alias("updated_at")))
+    return store.search("e", _Q, 10, {"label": 3}).select(F.col("_id").alias("id"), F.round("_distance", 4).alias("distance"))

@@ -25,12 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None and current.isDefined():
         named = current.get()
     if named is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="docquarry-")
     if not current.isDefined():
         context.setCheckpointDir(named)
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage of ``df`` into the shared folder, so a lost executor costs nothing."""
     spark = df.sparkSession

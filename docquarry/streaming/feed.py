@@ -6,12 +6,15 @@ compare in time: 15 digits of milliseconds, the node, 12 digits of a counter.
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
+
+from docquarry.runtime import checkpoint
 
 FEED = "seq long, coll string, doc_id string, op string, version string, ts long, source string, pushed boolean"
 
@@ -85,8 +88,8 @@ def live_delta(before: DataFrame, after: DataFrame, id_: str = "_id", touched: D
         rows = df.select(id_, F.struct(*values).alias(name))
         if not order:
             return rows
-        ranked = df.join(other.select(id_), id_, "left_semi").select(id_, F.row_number().over(W.orderBy(*order, id_)).alias(f"{name}_rank"))
-        return rows.join(ranked, id_, "left")
+        survivors = df.join(other.select(id_), id_, "left_semi")
+        return rows.join(ranks(survivors, [*order, F.col(id_)], f"{name}_rank").select(id_, f"{name}_rank"), id_, "left")
 
     both = side(before, "__b", after).join(side(after, "__a", before), id_, "full")
     differ = F.array_compact(F.array(*[F.when(~F.col(f"__b.{c}").eqNullSafe(F.col(f"__a.{c}")), F.lit(c)) for c in values]))
@@ -106,31 +109,94 @@ def live_delta(before: DataFrame, after: DataFrame, id_: str = "_id", touched: D
     return both.withColumn("change", F.explode(F.array_compact(F.array(*kinds)))).select(id_, "change", "changed_fields")
 
 
-def changes(spark: SparkSession, path: str, since: int = 0) -> DataFrame:
-    """The feed under ``path`` as a stream of entries after ``since``; a checkpoint makes it resumable."""
-    return spark.readStream.schema(T.StructType.fromDDL(FEED)).parquet(path).where(F.col("seq") > since)
+def ranks(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``name``, its place from 0 in ``order``: rows are sorted over all tasks, and each task counts on from those before it."""
+    numbered = checkpoint(df.orderBy(*order).withColumn("__i", F.monotonically_increasing_id()))
+    task = F.shiftright("__i", 33).cast("int")
+    held = {r.p: r.n for r in numbered.groupBy(task.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a task
+    before = [0]
+    for p in range(max(held, default=0)):
+        before.append(before[-1] + held.get(p, 0))
+    place = F.get(F.array(*map(F.lit, before)), task) + F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.withColumn(name, place.cast("long")).drop("__i")
 
 
-def watch(spark: SparkSession, path: str, result: Callable[[], DataFrame], callback: Callable[[str, DataFrame], None], checkpoint_dir: str, id_: str = "_id", **options):
+def changes(spark: SparkSession, path: str, since: int = 0) -> DataFrame:
+    """The feed under ``path`` as a stream of entries after ``since``; a checkpoint makes it resumable.
+
+    Only whole commits are ever moved there.
+    """
+    return spark.readStream.schema(T.StructType.fromDDL(FEED)).option("recursiveFileLookup", "true").parquet(path).where(F.col("seq") > since)
+
+
+def relevant(before: DataFrame, touched: DataFrame, result: DataFrame, id_: str = "_id", most: int = 500) -> bool:
+    """Whether changed documents can change a live result: one is a member, or matches now. More than ``most`` always may."""
+    if len(touched.limit(most + 1).collect()) > most:
+        return True
+    few = F.broadcast(touched)  # ``most`` rows
+    return not before.join(few, id_, "left_semi").isEmpty() or not result.join(few, id_, "left_semi").isEmpty()
+
+
+def watch(
+    spark: SparkSession,
+    path: str,
+    result: Callable[[], DataFrame],
+    callback: Callable[[str, DataFrame], None],
+    checkpoint_dir: str,
+    id_: str = "_id",
+    trigger: dict | None = None,
+    **options,
+):
     """Calls back with ("init", rows), then ("delta", changes) for each batch of the feed that changes the result.
 
-    ``result`` runs the query anew; the state between batches is a written table, not memory.
+    ``result`` runs the query anew, once for all entries that a batch holds (``trigger`` says how long they are gathered:
+    ``{"processingTime": "1 second"}``; what there is, then an end, by default) and only if they can matter. The state between batches is a written table, so that a
+    watch started again with the same ``checkpoint_dir`` goes on with the changes since; a batch that is run again calls back again.
     """
     state = f"{checkpoint_dir}/state"
-    first = result()
-    first.write.mode("overwrite").parquet(f"{state}/0")
-    callback("init", spark.read.parquet(f"{state}/0"))
-    at = {"dir": f"{state}/0"}
+    os.makedirs(state, exist_ok=True)
+
+    def held(n: int) -> str | None:
+        at = f"{state}/{n}.json"
+        return json.load(open(at))["dir"] if os.path.exists(at) else None
+
+    def hold(n: int, at: str) -> None:
+        with open(f"{state}/{n}.new", "w") as f:
+            json.dump({"dir": at}, f)
+        os.replace(f"{state}/{n}.new", f"{state}/{n}.json")
+
+    last = max((int(f[:-5]) for f in os.listdir(state) if f.endswith(".json")), default=None)
+    if last is None:
+        result().write.mode("overwrite").parquet(f"{state}/0")
+        hold(0, f"{state}/0")
+        last = 0
+    callback("init", spark.read.parquet(held(last)))
 
     def batch(entries: DataFrame, n: int) -> None:
-        before = spark.read.parquet(at["dir"])
+        at = held(n)
+        before = spark.read.parquet(at)
+        touched = checkpoint(entries.select(F.col("doc_id").alias(id_)).distinct())
+        if not relevant(before, touched, result(), id_):
+            hold(n + 1, at)
+            return
         to = f"{state}/{n + 1}"
         result().write.mode("overwrite").parquet(to)
-        after = spark.read.parquet(to)
-        touched = entries.select(F.col("doc_id").alias(id_)).distinct()
-        delta = live_delta(before, after, id_, touched, **options)
-        at["dir"] = to
+        delta = live_delta(before, spark.read.parquet(to), id_, touched, **options)
         if not delta.isEmpty():
             callback("delta", delta)
+        hold(n + 1, to)
+
+    os.makedirs(path, exist_ok=True)
+    return changes(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint_dir}/stream").trigger(**(trigger or {"availableNow": True})).start()
+
+
+def watch_doc(spark: SparkSession, path: str, find: Callable[[], dict | None], id_value: str, callback: Callable[[dict | None], None], checkpoint_dir: str, trigger: dict | None = None):
+    """Calls back with the document now and after every change of it; with None when it is absent."""
+    callback(find())
+
+    def batch(entries: DataFrame, n: int) -> None:
+        if not entries.where(F.col("doc_id") == id_value).isEmpty():
+            callback(find())
 
-    return changes(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint_dir}/stream").trigger(availableNow=True).start()
+    os.makedirs(path, exist_ok=True)
+    return changes(spark, path).where(F.col("doc_id") == id_value).writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint_dir}/stream").trigger(**(trigger or {"availableNow": True})).start()

@@ -77,8 +77,8 @@ def test_aggregates(spark):
     r = aggregate(d, {"age": {"gt": 0}}, _count=True, _sum={"age": True}, _avg={"age": True}).first()
     assert (r._count, r._sum_age, r._avg_age) == (3, 84, 28)
     g = group_by(d, ["role"], having={"_sum": {"age": {"gt": 50}}}, _count=True).collect()
-    assert [(x.role.text, x._count) for x in g] == [("admin", 2)]
-    assert [x.value.text for x in distinct(d, "tags").collect()] == ["x", "y"]
+    assert [(str(x.role.toPython()), x._count) for x in g] == [("admin", 2)]
+    assert [x.value.toPython() for x in distinct(d, "tags").collect()] == ["x", "y"]
     with pytest.raises(QueryError):
         group_by(d, [])
 
