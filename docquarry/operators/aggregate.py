@@ -30,15 +30,16 @@ def _accumulate(schema: T.StructType, bucket: str, path: str) -> Column:
 
 
 class Names:
-    """Column names of paths: dots as underscores, unless another path has that name; then the path itself."""
+    """Column names of paths: dots as underscores, with a further one where another path has that name."""
 
     def __init__(self):
         self.held: dict[str, str] = {}
 
     def __call__(self, bucket: str, path: str) -> str:
-        want = f"{bucket}_{path}" if bucket else path
-        plain = f"{bucket}_{path.replace('.', '_')}" if bucket else path.replace(".", "_")
-        return plain if self.held.setdefault(plain, want) == want else want
+        name = f"{bucket}_{path.replace('.', '_')}" if bucket else path.replace(".", "_")
+        while self.held.setdefault(name, path) != path:
+            name += "_"
+        return name
 
 
 def _columns(schema: T.StructType, args: dict, flat: Names) -> dict[str, Column]:
