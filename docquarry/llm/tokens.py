@@ -6,10 +6,10 @@ with the one space before it, or a stretch of other white space. A unit's token
 depend on what stands around it, which is what makes it worth looking up.
 
 Tier one is a compact table (64-bit hash, token count) of the corpus's most frequent units. Each
-partition of a first pass over all documents reports its ``REPORT`` most frequent units, those
-reports are summed, and the ``TABLE`` most frequent go to all workers. Tier two takes the misses:
-each distinct one of a batch is looked up in the worker's own cache and, if new, encoded. Units are never
-shuffled, only the bounded reports; what the table holds affects speed, not results.
+partition of a first pass over all documents encodes its ``REPORT`` most frequent units and reports their hashes, token
+counts and frequencies; those numbers are summed, and the ``TABLE`` most frequent go to all workers. Tier two takes the misses:
+each distinct one of a batch is looked up in the worker's own cache and, if new, encoded. No unit is ever
+shuffled, and no more than ``REPORT`` numbers a partition; what the table holds affects speed, not results.
 
 White space outside ASCII would let a unit's tokens depend on its neighbours; a document that
 holds any is encoded whole instead. A hash that two units share would give a wrong count; with
@@ -80,7 +80,14 @@ def unit_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(Rolling(data).of(begin, end) + (end - begin).astype(np.uint64))
 
 
-def _reports(batches):
+def _reports(path):
+    def run(batches):
+        yield from _reported(batches, path)
+
+    return run
+
+
+def _reported(batches, path):
     held: dict[bytes, int] = {}
     for b in slices(batches, "text"):
         data, begin, end, _, _ = units(b.column("text"))
@@ -93,22 +100,22 @@ def _reports(batches):
         if len(held) > 1 << 18:
             held = dict(sorted(held.items(), key=lambda x: -x[1])[: 1 << 16])
     top = sorted(held.items(), key=lambda x: (-x[1], x[0]))[:REPORT]
-    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["unit", "n"])
+    data, at = np.frombuffer(b"".join(u for u, _ in top), np.uint8), np.r_[0, np.cumsum([len(u) for u, _ in top])].astype(np.int64)
+    enc = encoding(path)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(unit_hashes(data, at[:-1], at[1:]).view(np.int64) if top else [], pa.int64()), pa.array([len(enc.encode_ordinary(u.decode())) for u, _ in top], pa.int32()), pa.array([n for _, n in top], pa.int64())],
+        names=["hash", "size", "n"],
+    )
 
 
 def frequent(docs: DataFrame, path: str = VOCABULARY, most: int = TABLE) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, token counts) of the ``most`` most frequent units of all documents."""
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    top = texts.mapInArrow(_reports, "unit binary, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    got = [bytes(r.unit) for r in top.orderBy(F.desc("n"), "unit").limit(most).collect()]
-    if not got:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    enc = encoding(path)
-    data, at = np.frombuffer(b"".join(got), np.uint8), np.r_[0, np.cumsum([len(u) for u in got])]
-    h = unit_hashes(data, at[:-1], at[1:])
+    top = texts.mapInArrow(_reports(path), "hash long, size int, n long").groupBy("hash").agg(F.sum("n").alias("n"), F.min("size").alias("size"))
+    got = top.orderBy(F.desc("n"), "hash").limit(most).toPandas()  # ``most`` rows
+    h = got["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    size = np.array([len(enc.encode_ordinary(u.decode())) for u in got], np.int32)
-    return h[order], size[order]
+    return h[order], got["size"].to_numpy(np.int32)[order]
 
 
 class Counter:
