@@ -34,8 +34,15 @@ def latest_per_key(df: DataFrame, keys: list[str], by: str) -> DataFrame:
 
 
 def rate_window(df: DataFrame, keys: list[str], at_ms: str, window_ms: int) -> DataFrame:
-    """``in_window``: how many starts lie in the ``window_ms`` that end with each row."""
-    return df.withColumn("in_window", F.count("*").over(W.partitionBy(*keys).orderBy(at_ms).rangeBetween(-window_ms + 1, 0)))
+    """``in_window``: how many starts lie in the ``window_ms`` that end with each row; a row without a time has none.
+
+    Time is parted in stretches of the window's length, and a row also counts in the stretch after its own: so a
+    key with most of the rows is as many groups as it has stretches.
+    """
+    own = F.floor(F.col(at_ms) / window_ms).cast("long")
+    parts = df.withColumn("__p", F.explode(F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own + 1).alias("b"), F.lit(False).alias("own")))))
+    held = F.count(F.col(at_ms)).over(W.partitionBy(*keys, "__p.b").orderBy(at_ms).rangeBetween(-window_ms + 1, 0))
+    return parts.withColumn("in_window", held).where("__p.own").drop("__p")
 
 
 def counts_by_status(df: DataFrame, status: str, all_statuses: list[str]) -> DataFrame:
