@@ -577,10 +577,10 @@ class Collection:
 
         if order_by is not None:
             options["order"] = query.order_columns(result(), order_by)
-        return live.watch(self.db.spark, f"{self.db.path}/_feed", result, callback, checkpoint_dir, **options)
+        return live.watch(self.db.spark, f"{self.db.path}/_feed", result, callback, checkpoint_dir, coll=self.name, seq=self.db.current_seq(), **options)
 
     def watch_doc(self, id_: Any, callback: Callable[[dict | None], None], checkpoint_dir: str, trigger: dict | None = None):
-        return live.watch_doc(self.db.spark, f"{self.db.path}/_feed", lambda: self.find_by_id(id_), str(id_), callback, checkpoint_dir, trigger)
+        return live.watch_doc(self.db.spark, f"{self.db.path}/_feed", lambda: self.find_by_id(id_), str(id_), callback, checkpoint_dir, trigger, self.name, self.db.current_seq())
 
     # Writes.
     def create(self, doc: dict) -> dict:

@@ -145,6 +145,8 @@ def watch(
     checkpoint_dir: str,
     id_: str = "_id",
     trigger: dict | None = None,
+    coll: str | None = None,
+    seq: int = 0,
     **options,
 ):
     """Calls back with ("init", rows), then ("delta", changes) for each batch of the feed that changes the result.
@@ -152,46 +154,52 @@ def watch(
     ``result`` runs the query anew, once for all entries that a batch holds (``trigger`` says how long they are gathered:
     ``{"processingTime": "1 second"}``; what there is, then an end, by default) and only if they can matter. The state between batches is a written table, so that a
     watch started again with the same ``checkpoint_dir`` goes on with the changes since; a batch that is run again calls back again.
+    ``seq`` is the feed's last number when the watch began: what came before is in the first result.
     """
     state = f"{checkpoint_dir}/state"
     os.makedirs(state, exist_ok=True)
 
-    def held(n: int) -> str | None:
-        at = f"{state}/{n}.json"
-        return json.load(open(at))["dir"] if os.path.exists(at) else None
+    def held(n: int) -> tuple[str, int]:
+        with open(f"{state}/{n}.json") as f:
+            x = json.load(f)
+        return x["dir"], x["seq"]
 
-    def hold(n: int, at: str) -> None:
+    def hold(n: int, at: str, seq: int) -> None:
         with open(f"{state}/{n}.new", "w") as f:
-            json.dump({"dir": at}, f)
+            json.dump({"dir": at, "seq": seq}, f)
         os.replace(f"{state}/{n}.new", f"{state}/{n}.json")
 
     last = max((int(f[:-5]) for f in os.listdir(state) if f.endswith(".json")), default=None)
     if last is None:
         result().write.mode("overwrite").parquet(f"{state}/0")
-        hold(0, f"{state}/0")
+        hold(0, f"{state}/0", seq)
         last = 0
-    callback("init", spark.read.parquet(held(last)))
+    callback("init", spark.read.parquet(held(last)[0]))
 
     def batch(entries: DataFrame, n: int) -> None:
-        at = held(n)
+        at, since = held(n)
         before = spark.read.parquet(at)
-        touched = checkpoint(entries.select(F.col("doc_id").alias(id_)).distinct())
+        fresh = checkpoint(entries.where(F.col("seq") > since).groupBy(F.col("doc_id").alias(id_)).agg(F.max("seq").alias("seq")))
+        since = fresh.agg(F.max("seq")).first()[0] or since
+        touched = fresh.select(id_)
         if not relevant(before, touched, result(), id_):
-            hold(n + 1, at)
+            hold(n + 1, at, since)
             return
         to = f"{state}/{n + 1}"
         result().write.mode("overwrite").parquet(to)
         delta = live_delta(before, spark.read.parquet(to), id_, touched, **options)
         if not delta.isEmpty():
             callback("delta", delta)
-        hold(n + 1, to)
+        hold(n + 1, to, since)
 
     os.makedirs(path, exist_ok=True)
-    return changes(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint_dir}/stream").trigger(**(trigger or {"availableNow": True})).start()
+    entries = changes(spark, path)
+    entries = entries.where(F.col("coll") == coll) if coll else entries
+    return entries.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint_dir}/stream").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def watch_doc(spark: SparkSession, path: str, find: Callable[[], dict | None], id_value: str, callback: Callable[[dict | None], None], checkpoint_dir: str, trigger: dict | None = None):
-    """Calls back with the document now and after every change of it; with None when it is absent."""
+def watch_doc(spark: SparkSession, path: str, find: Callable[[], dict | None], id_value: str, callback: Callable[[dict | None], None], checkpoint_dir: str, trigger: dict | None = None, coll: str | None = None, seq: int = 0):
+    """Calls back with the document now and after every change of it since ``seq``; with None when it is absent."""
     callback(find())
 
     def batch(entries: DataFrame, n: int) -> None:
@@ -199,4 +207,6 @@ def watch_doc(spark: SparkSession, path: str, find: Callable[[], dict | None], i
             callback(find())
 
     os.makedirs(path, exist_ok=True)
-    return changes(spark, path).where(F.col("doc_id") == id_value).writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint_dir}/stream").trigger(**(trigger or {"availableNow": True})).start()
+    entries = changes(spark, path, seq)
+    entries = entries.where(F.col("coll") == coll) if coll else entries
+    return entries.where(F.col("doc_id") == id_value).writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint_dir}/stream").trigger(**(trigger or {"availableNow": True})).start()

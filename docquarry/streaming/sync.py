@@ -196,4 +196,4 @@ class SyncEngine:
             self._thread.join()
 
     def status(self) -> dict[str, Any]:
-        return {**self._status, "cursors": self._cursors()[0], "pending": FD.pending(self.db.feed()).count()}
+        return {**self._status, "cursors": self._cursors()[0], "pending": FD.pending(self.db.feed()).where(F.col("coll").isin(self.collections())).count()}
