@@ -183,7 +183,7 @@ def search(df: DataFrame, fields: list[str], query: str, id_: str = "_id", take:
     allowed = F.coalesce(where(df, where_), F.lit(False)) if where_ else F.lit(True)
     seen = df.select(F.col(id_).alias("__id"), allowed.alias("__ok"), s.alias("__s"))
     n = F.when(F.trim("__s") == "", 0).otherwise((F.length("__s") - F.length(F.replace("__s", F.lit(" "), F.lit("")))) / 2).cast("int")
-    counted = checkpoint(seen.select("__id", "__ok", n.alias("__n"), *[_times(leaf, F.col("__s")).alias(f"__f{i}") for i, leaf in enumerate(leaves)]))
+    counted = checkpoint(seen.select("__id", "__ok", n.alias("__n"), *[_times(leaf, F.col("__s")).alias(f"__f{i}") for i, leaf in enumerate(leaves)]), free=False)
     stats = counted.agg(F.count("*").alias("docs"), F.coalesce(F.avg("__n"), F.lit(0.0)).alias("mean"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"d{i}") for i in range(len(leaves))]).first()
     out = ranked(counted.where("__ok"), tree, stats.docs, stats.mean, [stats[f"d{i}"] for i in range(len(leaves))]).select("__id", "_score")
     if take is not None:

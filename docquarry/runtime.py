@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,16 +40,37 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of ``df`` into the shared folder, so a lost executor costs nothing."""
+def checkpoint(df: DataFrame, free: bool = True) -> DataFrame:
+    """Cuts the lineage of ``df`` into the shared folder, so a lost executor costs nothing.
+
+    With ``free`` the shuffle files that led to it are let go at once; small results do without.
+    """
     spark = df.sparkSession
     shared_dir(spark)
     out = df.checkpoint(eager=True)
     del df
+    if free:
+        free_shuffles(spark)
+    return out
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As :func:`checkpoint`, but as a Parquet table, which is smaller and stays until :func:`discard`."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    del df
     free_shuffles(spark)
+    out = spark.read.parquet(at)
+    out.written_at = at
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of :func:`written` that no plan will read any more."""
+    remove(df.sparkSession, df.written_at)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that no live plan needs; it does so when the driver collects its garbage."""
     gc.collect()

@@ -311,7 +311,7 @@ class Database:
             entries, n = self.spark.createDataFrame(rows, FEED).coalesce(1), len(rows)
         else:
             extra = ["version"] if "version" in changed.columns else []
-            numbered = checkpoint(changed.select("doc_id", "op", *extra).withColumn("__i", F.monotonically_increasing_id()))
+            numbered = checkpoint(changed.select("doc_id", "op", *extra).withColumn("__i", F.monotonically_increasing_id()), free=False)
             per = {r.p: r.n for r in numbered.groupBy(F.shiftright("__i", 33).cast("int").alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a partition
             n = sum(per.values())
             if not n:
@@ -366,7 +366,7 @@ class Database:
                 n = c.append(rows.withColumns({k: v for k, v in fill.items() if k not in cols}))
             else:
                 cond = m["uw"] or m["dw"] or "true"
-                hit = checkpoint(ask(f"SELECT _id FROM {c.name} WHERE {cond}").withColumnRenamed("_id", "__hit"))
+                hit = checkpoint(ask(f"SELECT _id FROM {c.name} WHERE {cond}").withColumnRenamed("_id", "__hit"), free=False)
                 n = hit.count()
                 base = c.read()
                 rest = base.join(hit, base["_id"] == hit["__hit"], "left_anti")
@@ -600,7 +600,7 @@ class Collection:
     def append(self, df: DataFrame) -> int:
         """Adds a DataFrame of this collection's columns, for loads that are too large for the driver; the number of its rows."""
         with self.db.transaction():
-            rows = checkpoint(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.struct()]))
+            rows = checkpoint(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.struct()]), free=False)
             self._commit(self.read().unionByName(rows), rows.select(F.col("_id").alias("doc_id"), F.lit("insert").alias("op")), rows.select("_id"))
             return rows.count()
 
@@ -645,7 +645,7 @@ class Collection:
                     yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, x)) for x in out], schema=arrow)
 
             try:
-                changed = checkpoint(texts.mapInArrow(run, schema))
+                changed = checkpoint(texts.mapInArrow(run, schema), free=False)
             except Exception as e:
                 raise _told(e) from e
             n = changed.count()
@@ -672,7 +672,7 @@ class Collection:
             rows = self._rows(docs)
             held = self.read().select(*[F.col(k) for k in keys], F.col("_id").alias("__id"), F.col("created_at").alias("__at"))
             rows = rows.join(held, keys, "left")
-            rows = checkpoint(rows.withColumns({"op": F.when(F.col("__id").isNull(), "insert").otherwise("update"), "_id": F.coalesce("__id", "_id"), "created_at": F.coalesce("__at", "created_at")}))
+            rows = checkpoint(rows.withColumns({"op": F.when(F.col("__id").isNull(), "insert").otherwise("update"), "_id": F.coalesce("__id", "_id"), "created_at": F.coalesce("__at", "created_at")}), free=False)
             stay = self.read().join(rows.select("_id"), "_id", "left_anti")
             self._commit(stay.unionByName(rows.select(*self.struct().names)), rows.select(F.col("_id").alias("doc_id"), "op"), rows.select("_id"))
 
@@ -688,7 +688,7 @@ class Collection:
         with self.db.transaction():
             base = self.read()
             hit = F.coalesce(where(base, where_), F.lit(False))
-            ids = checkpoint(base.where(hit).select("_id"))
+            ids = checkpoint(base.where(hit).select("_id"), free=False)
             n = ids.count()
             if n:
                 self._commit(base.where(~hit), ids.select(F.col("_id").alias("doc_id"), F.lit("delete").alias("op")), ids.limit(0))
@@ -730,7 +730,7 @@ class Collection:
             met = new.join(have, "doc_id", "left")
             wins = resolver(F.col("local"), F.col("version")) if resolver else F.col("version") > F.col("local")
             outcome = F.when(F.col("local").isNull(), "applied").when(F.col("local") == F.col("version"), "echo").when(wins, "remote").otherwise("local_won")
-            met = checkpoint(met.withColumn("outcome", outcome))
+            met = checkpoint(met.withColumn("outcome", outcome), free=False)
             put = met.where(F.col("outcome").isin("applied", "remote"))
             if not put.isEmpty():
                 base = self.read()

@@ -111,7 +111,7 @@ def live_delta(before: DataFrame, after: DataFrame, id_: str = "_id", touched: D
 
 def ranks(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with ``name``, its place from 0 in ``order``: rows are sorted over all tasks, and each task counts on from those before it."""
-    numbered = checkpoint(df.orderBy(*order).withColumn("__i", F.monotonically_increasing_id()))
+    numbered = checkpoint(df.orderBy(*order).withColumn("__i", F.monotonically_increasing_id()), free=False)
     task = F.shiftright("__i", 33).cast("int")
     held = {r.p: r.n for r in numbered.groupBy(task.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a task
     before = [0]
@@ -179,7 +179,7 @@ def watch(
     def batch(entries: DataFrame, n: int) -> None:
         at, since = held(n)
         before = spark.read.parquet(at)
-        fresh = checkpoint(entries.where(F.col("seq") > since).groupBy(F.col("doc_id").alias(id_)).agg(F.max("seq").alias("seq")))
+        fresh = checkpoint(entries.where(F.col("seq") > since).groupBy(F.col("doc_id").alias(id_)).agg(F.max("seq").alias("seq")), free=False)
         since = fresh.agg(F.max("seq")).first()[0] or since
         touched = fresh.select(id_)
         if not relevant(before, touched, result(), id_):

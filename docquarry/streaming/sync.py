@@ -95,7 +95,7 @@ class SyncEngine:
             self.state.put_many([{"remote": self.adapter.name, "cursors": {**cursors, coll: to}, "at": now_ms()}], ["remote"])
 
     def _log(self, coll: str, outcomes: DataFrame) -> int:
-        rows = checkpoint(outcomes.where(F.col("outcome").isin("remote", "local_won")))
+        rows = checkpoint(outcomes.where(F.col("outcome").isin("remote", "local_won")), free=False)
         n = rows.count()
         if n:
             rows = rows.select(F.uuid().alias("_id"), F.parse_json(F.lit("{}")).alias(BODY), F.lit(self.adapter.name).alias("remote"), F.lit(coll).alias("coll"), "doc_id", "local", "version", "outcome", F.lit(now_ms()).alias("at"), F.lit(now_ms()).alias("created_at"), F.lit(now_ms()).alias("updated_at"))
@@ -110,7 +110,7 @@ class SyncEngine:
                 continue
             with self.db.transaction():
                 known = self.db.feed().where(F.col("coll") == name).select("doc_id").distinct()
-                fresh = checkpoint(self.db.collection(name).read().select(F.col("_id").alias("doc_id")).join(known, "doc_id", "left_anti").withColumn("op", F.lit("insert")))
+                fresh = checkpoint(self.db.collection(name).read().select(F.col("_id").alias("doc_id")).join(known, "doc_id", "left_anti").withColumn("op", F.lit("insert")), free=False)
                 n += fresh.count()
                 self.db._record(name, fresh)
         return n
@@ -150,7 +150,7 @@ class SyncEngine:
             if coll not in self.db.collections():
                 continue
             held = self.db.collection(coll)
-            waiting = checkpoint(FD.pending(self.db.feed()).where(F.col("coll") == coll))
+            waiting = checkpoint(FD.pending(self.db.feed()).where(F.col("coll") == coll), free=False)
             if waiting.isEmpty():
                 continue
             changes = with_rows(waiting, held.read())
