@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +73,12 @@ def discard(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that no live plan needs; it does so when the driver collects its garbage."""
+    """Lets Spark delete shuffle files that no live plan needs; it does so when the driver collects its garbage.
+
+    Events that are still on their way to listeners hold on to a plan, hence the second round.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    if not spark.sparkContext.master.startswith("local["):
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
