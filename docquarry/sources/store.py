@@ -35,7 +35,7 @@ from docquarry.functions.values import BODY, QueryError
 from docquarry.operators import aggregate as agg
 from docquarry.operators import query, update
 from docquarry.operators.where import where
-from docquarry.runtime import checkpoint
+from docquarry.runtime import checkpoint, large
 from docquarry.streaming import feed as live
 from docquarry.streaming.feed import FEED, make_version
 from docquarry.streaming.feed import mark_pushed as mark_feed
@@ -463,7 +463,7 @@ class Collection:
         v = self.manifest()["version"]
         if not v:
             return self.db.spark.createDataFrame([], self.struct())
-        df = self.db.spark.read.parquet(f"{self.path}/v={v}")
+        df = large(self.db.spark.read.parquet(f"{self.path}/v={v}"))
         for n, d in (self.declared or {}).items():  # columns declared since
             if n not in df.columns:
                 df = df.withColumn(n, F.lit(d.get("default")).cast(TYPES[d["type"]]))
@@ -501,7 +501,7 @@ class Collection:
         tx["made"].append(to)
         shutil.rmtree(to, ignore_errors=True)
         new.write.parquet(to)
-        held = self.db.spark.read.parquet(to)
+        held = large(self.db.spark.read.parquet(to))
         fresh = held if touched is None else held.join(touched.select("_id"), "_id", "left_semi")
         for keys in [["_id"], *self.unique]:
             cols = [query.key(query.resolve(held.schema, k)).alias(f"k{i}") for i, k in enumerate(keys)]
@@ -727,7 +727,7 @@ class Collection:
         with self.db.transaction():
             new = incoming.groupBy("doc_id").agg(F.max_by(F.struct(*rest), "version").alias("r")).select("doc_id", "r.*")
             have = self.db.feed().where(F.col("coll") == self.name).groupBy("doc_id").agg(F.max("version").alias("local"))
-            met = new.join(have, "doc_id", "left")
+            met = new.join(large(have), "doc_id", "left")
             wins = resolver(F.col("local"), F.col("version")) if resolver else F.col("version") > F.col("local")
             outcome = F.when(F.col("local").isNull(), "applied").when(F.col("local") == F.col("version"), "echo").when(wins, "remote").otherwise("local_won")
             met = checkpoint(met.withColumn("outcome", outcome), free=False)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docquarry.runtime import checkpoint
+from docquarry.runtime import checkpoint, large
 
 FEED = "seq long, coll string, doc_id string, op string, version string, ts long, source string, pushed boolean"
 
@@ -48,14 +48,14 @@ def pending(feed: DataFrame, docs: DataFrame | None = None, id_: str = "_id") ->
     last = feed.where("source = 'local' AND NOT pushed").groupBy("coll", "doc_id").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("coll", "doc_id", "r.*")
     if docs is not None:
         there = docs.select(F.col(id_).cast("string").alias("doc_id"), F.lit(True).alias("__there"))
-        last = last.join(there, "doc_id", "left").withColumn("op", F.when(F.col("__there").isNull(), "delete").otherwise(F.col("op"))).drop("__there")
+        last = last.join(large(there), "doc_id", "left").withColumn("op", F.when(F.col("__there").isNull(), "delete").otherwise(F.col("op"))).drop("__there")
     return last.select(*feed.columns)
 
 
 def mark_pushed(feed: DataFrame, done: DataFrame) -> DataFrame:
     """``done`` (coll, doc_id, seq): local entries of those documents up to that number count as pushed."""
     upto = done.groupBy("coll", "doc_id").agg(F.max("seq").alias("__upto"))
-    out = feed.join(upto, ["coll", "doc_id"], "left").withColumn("pushed", F.col("pushed") | F.coalesce(F.col("seq") <= F.col("__upto"), F.lit(False)))
+    out = feed.join(large(upto), ["coll", "doc_id"], "left").withColumn("pushed", F.col("pushed") | F.coalesce(F.col("seq") <= F.col("__upto"), F.lit(False)))
     return out.select(*feed.columns)
 
 

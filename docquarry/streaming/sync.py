@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.functions.values import BODY, QueryError
-from docquarry.runtime import checkpoint
+from docquarry.runtime import checkpoint, large
 from docquarry.sources.store import Database, now_ms
 from docquarry.streaming import feed as FD
 
@@ -138,7 +138,7 @@ class SyncEngine:
                 with self.db.transaction():
                     outcomes = target.apply_remote(changes, self.resolver)
                     done["pulled"] += outcomes.where(F.col("outcome").isin("applied", "remote")).count()
-                    done["conflicts"] += self._log(coll, outcomes.join(waiting, "doc_id", "left_semi"))
+                    done["conflicts"] += self._log(coll, outcomes.join(large(waiting), "doc_id", "left_semi"))
                     self._move(coll, last)
             elif last > since:
                 self._move(coll, last)

@@ -206,3 +206,23 @@ def test_cron_runs_and_stops(db):
     assert c.next("x") == 60_000 and c.next("y") is None
     c.run({"x": c.stop}, poll_ms=10)
     assert c.next("x") > 60_000 and c.unschedule("x")
+
+
+def test_no_round_broadcasts_documents(spark, tmp_path):
+    """A stored VARIANT counts as 2 KB a row, so identifiers seemed to be small enough at any number of documents."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    begun = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    here, there = create_db(spark, str(tmp_path / "here")), create_db(spark, str(tmp_path / "there"))
+    held = here.collection("c", {"n": {"type": "INTEGER"}})
+    held.append(spark.range(100).select(F.col("id").cast("string").alias("_id"), F.parse_json(F.lit('{"a": 1}')).alias("data"), F.col("id").alias("n")))
+    engine = SyncEngine(here, FolderAdapter(there, "there"), ["c"])
+    engine.push()
+    there.collection("c").update_many({"n": {"lt": 10}}, {"$set": {"b": 2}})
+    held.delete_many({"n": {"gte": 90}})
+    engine.pull()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = [store.executionsList().apply(i) for i in range(store.executionsList().size())]
+    plans = [x.physicalPlanDescription() for x in ran if x.executionId() not in begun]
+    # sync_state has a row for each other side and is joined with rows of the driver
+    assert plans and [p for p in plans if "BroadcastExchange" in p and "sync_state" not in p] == []
+    assert held.count() == 90 and there.collection("c").count() == 100
