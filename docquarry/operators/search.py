@@ -44,6 +44,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(folded(c), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+def joined(c: Column) -> Column:
+    """The :func:`tokens` with one blank between two."""
+    return F.trim(F.regexp_replace(folded(c), r"[^\p{L}\p{N}]+", " "))
+
+
 def spaced(c: Column) -> Column:
     """The tokens with a blank on either side of each, so that counting one is counting a piece of text."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded(c), r"[^\p{L}\p{N}]+", "  ")), F.lit(" "))
