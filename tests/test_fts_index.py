@@ -71,3 +71,12 @@ def test_segments_of_older_versions_are_read(spark, tmp_path):
     index.catch_up(docs, spark.createDataFrame([("b", 1)], "doc_id string, seq long"))
     assert [r._id for r in index.search(docs, "one").collect()] == ["a"] and len(index.search(docs, "two").collect()) == 2
     assert index.search(docs, '"one two"').count() == 1 and os.path.isdir(f"{index.path}/s-1")
+
+
+def test_phrases_of_texts_that_are_taken_apart_together(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "a public license" if i % 3 else "license public, public a license") for i in range(30)], "id long, text string").coalesce(1)
+    index = Index(spark, str(tmp_path / "i"), ["text"], "id")
+    index.reindex(docs)
+    held = spark.read.parquet(f"{index.path}/{index.state()['segments'][0]}/postings")
+    assert held.count() == 3  # a row a word, not one for each word of each text
+    assert sorted(r.id for r in index.search(docs, '"public license"', None).collect()) == [i for i in range(30) if i % 3]
